@@ -136,5 +136,7 @@ class ChainSource(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
+    """Make the format known. Spark passes filters to Python sources only where this setting says so."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ChainSource)
     return spark

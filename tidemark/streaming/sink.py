@@ -107,4 +107,7 @@ class TableProcessor:
                 fs.rename(self._fs(kept)[1], p)
         before = self.last_synced()
         if before is not None and before.number >= number:
-            self.advance(BlockId(number - 1), "INITIALISED")
+            # the id of the block that is now the last, if it has an event, so that the next one's parent can be checked
+            kept = self.events()
+            rows = kept.where(F.col("blockNumber") == number - 1).select("blockId").limit(1).collect() if kept is not None else []
+            self.advance(BlockId(number - 1, rows[0].blockId if rows else None), "INITIALISED")
