@@ -4,15 +4,17 @@ A window is ``window`` consecutive words. Its minimiser is the least hash of the
 runs of ``seed`` words inside it, the leftmost of equal ones. Consecutive windows
 with one minimiser form a super-k-mer. Equal windows have equal minimisers, so
 
-1. every super-k-mer is listed as (minimiser, document, place) without text, and
-   only minimisers that at least two documents have go on;
-2. the texts of these are cut from the documents, each as one packed string, and
-   travel to the bucket of their minimiser;
-3. a bucket sorts its windows by hash and takes the least document of each run
-   of equal ones. Minimisers of more than ``hot`` super-k-mers don't travel to
-   one bucket: their windows are dealt out by the window's own hash, after a
-   pre-aggregation of the least document;
-4. windows that a smaller document has are joined back to their documents.
+1. every super-k-mer is listed as (minimiser, hash of its words, document,
+   place) without text, and only minimisers that two documents have go on;
+2. super-k-mers of equal words are one content, whose first document is its
+   least; in all later documents the whole super-k-mer goes, so copies need no
+   more work;
+3. the contents' texts are cut from their first documents, each as one packed
+   string, and travel to the bucket of their minimiser, where sorting the windows
+   by hash gives each its least document. A minimiser of more than ``hot``
+   contents isn't one bucket: its windows are dealt out by their own hashes, with
+   the least document pre-aggregated;
+4. a content's windows that a smaller document has go in its first document.
 
 Windows are compared by a 64-bit hash within one 64-bit minimiser.
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialise
-from .wordhash import Words, grams, long, pieces, windows
+from .wordhash import POWERS, Words, grams, long, mix, pieces, windows
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -59,24 +61,26 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return at[:n]
 
 
-def _cut(h: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers of all rows: row, first window (word place in the row), windows, minimiser."""
+def _cut(h: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+    """Super-k-mers of all rows: row, first window (word place in the row), windows, minimiser, hash of the words."""
     seeds = grams(h, p.seed)
     w = p.window - p.seed + 1
+    none, no = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(seeds) < w:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, no, no
     place = _least(seeds, w)
     sizes = np.diff(at)
     row = np.repeat(np.arange(len(sizes)), np.maximum(sizes - p.window + 1, 0))
     start = np.concatenate([np.arange(a, b - p.window + 1) for a, b in zip(at[:-1], at[1:], strict=True) if b - a >= p.window] or [np.zeros(0, np.int64)]).astype(np.int64)
     if not len(start):
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, no, no
     m = place[start]
     first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (row[1:] != row[:-1])]))
     n = np.diff(np.concatenate([first, [len(start)]]))
-    return row[first], start[first] - at[row[first]], n, seeds[m[first]]
+    inner = np.arange(len(start)) - np.repeat(first, n)
+    words = windows(h, p.window)[start] * POWERS[inner]
+    content = mix(np.add.reduceat(words, first) + n.astype(np.uint64))
+    return row[first], start[first] - at[row[first]], n, seeds[m[first]], content
 
 
 def _list(p: Params):
@@ -84,15 +88,15 @@ def _list(p: Params):
         for batch in batches:
             for part in pieces(batch, "text"):
                 words = Words(part.column("text"))
-                row, start, n, least = _cut(words.hashes(), words.at, p)
+                row, start, n, least, content = _cut(words.hashes(), words.at, p)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([long(least), part.column("doc_id").take(take), part.column("copy").take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["least", "doc_id", "copy", "start", "n"])
+                yield pa.RecordBatch.from_arrays([long(least), long(content), part.column("doc_id").take(take), part.column("copy").take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["least", "content", "doc_id", "copy", "start", "n"])
 
     return run
 
 
 def _pack(p: Params):
-    """One row for each super-k-mer that another document may share, with its words as they stand in the text."""
+    """One row for each content, with its words as they stand in the text of its first document."""
 
     def run(batches):
         for batch in batches:
@@ -109,7 +113,7 @@ def _pack(p: Params):
                 data = np.concatenate([words.data[a:b] for a, b in zip(low, high, strict=True)] or [np.zeros(0, np.uint8)])
                 packed = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([flat.field("least"), part.column("doc_id").take(take), part.column("copy").take(take), flat.field("start"), packed, flat.field("hot")], ["least", "doc_id", "copy", "start", "packed", "hot"])
+                yield pa.RecordBatch.from_arrays([flat.field("least"), flat.field("content"), part.column("doc_id").take(take), packed, flat.field("hot")], ["least", "content", "low", "packed", "hot"])
 
     return run
 
@@ -124,13 +128,14 @@ def _hashed(part: pa.RecordBatch, p: Params) -> tuple[np.ndarray, np.ndarray, np
     return row, inner, every[words.at[row] + inner]
 
 
-def _spans(part: pa.RecordBatch, row: np.ndarray, inner: np.ndarray) -> pa.RecordBatch:
-    """Runs of windows to remove as (doc_id, copy, start, n windows)."""
-    edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)]))[: len(row)]
+def _spans(row: np.ndarray, inner: np.ndarray, rows: int) -> pa.Array:
+    """Runs of windows of each row as lists of (start, n)."""
+    if not len(row):
+        return pa.ListArray.from_arrays(np.zeros(rows + 1, np.int32), pa.StructArray.from_arrays([pa.array([], pa.int32())] * 2, ["start", "n"]))
+    edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)]))
     n = np.diff(np.concatenate([edge, [len(row)]]))
-    take = pa.array(row[edge])
-    start = part.column("start").take(take).to_numpy(zero_copy_only=False) + inner[edge]
-    return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("copy").take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "copy", "start", "n"])
+    spans = pa.StructArray.from_arrays([pa.array(inner[edge], pa.int32()), pa.array(n, pa.int32())], ["start", "n"])
+    return pa.ListArray.from_arrays(np.searchsorted(row[edge], np.arange(rows + 1)).astype(np.int32), spans)
 
 
 def _bucket(p: Params):
@@ -138,14 +143,14 @@ def _bucket(p: Params):
 
     def judge(part: pa.RecordBatch) -> pa.RecordBatch:
         row, inner, value = _hashed(part, p)
-        doc = part.column("doc_id").to_numpy()[row]
+        doc = part.column("low").to_numpy()[row]
         bucket = part.column("least").to_numpy()[row]
         order = np.lexsort((doc, value, bucket))
         b, v, d = bucket[order], value[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (v[1:] != v[:-1])]))
         least = np.repeat(d[first], np.diff(np.concatenate([first, [len(d)]])))
         gone = np.sort(order[d > least])
-        return _spans(part, row[gone], inner[gone])
+        return pa.RecordBatch.from_arrays([part.column("least"), part.column("content"), _spans(row[gone], inner[gone], part.num_rows)], ["least", "content", "gone"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -163,14 +168,14 @@ def _bucket(p: Params):
     def done(held):
         held = [x for x in held if x.num_rows]
         if held:
-            # groups stay whole: each has at most p.hot rows
-            all_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            key = all_.column("least").to_numpy()
+            # buckets stay whole: each has at most p.hot rows
+            every = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = every.column("least").to_numpy()
             edges = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
             at = 0
             while at < len(key):
                 e = edges[max(np.searchsorted(edges, at + p.hot, "right") - 1, np.searchsorted(edges, at, "right"))]
-                yield judge(all_.slice(at, e - at))
+                yield judge(every.slice(at, e - at))
                 at = int(e)
 
     return run
@@ -179,11 +184,10 @@ def _bucket(p: Params):
 def _windows(p: Params):
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "packed"):
+            for part in pieces(batch, "packed", 1 << 20):
                 row, inner, value = _hashed(part, p)
                 take = pa.array(row)
-                start = part.column("start").take(take).to_numpy(zero_copy_only=False) + inner
-                yield pa.RecordBatch.from_arrays([part.column("least").take(take), long(value), part.column("doc_id").take(take), part.column("copy").take(take), pa.array(start, pa.int32())], ["least", "value", "doc_id", "copy", "start"])
+                yield pa.RecordBatch.from_arrays([part.column("least").take(take), part.column("content").take(take), long(value), part.column("low").take(take), pa.array(inner, pa.int32())], ["least", "content", "value", "low", "inner"])
 
     return run
 
@@ -196,21 +200,31 @@ def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """
     p = params
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    listed = materialise(some.mapInArrow(_list(p), "least long, doc_id long, copy long, start int, n int"), "superkmers")
-    stats = listed.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("c"))
-    stats = stats.where("low < high").select("least", (F.col("c") > p.hot).alias("hot"))
-    shared = listed.join(stats, "least")
-    spots = shared.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("least", "start", "n", "hot")).alias("spots"))
-    packed = some.join(spots, ["doc_id", "copy"]).select("doc_id", "copy", "text", "spots").mapInArrow(_pack(p), "least long, doc_id long, copy long, start int, packed binary, hot boolean")
-    packed = materialise(packed, "packed")
+    listed = materialise(some.mapInArrow(_list(p), "least long, content long, doc_id long, copy long, start int, n int"), "superkmers")
+    stats = listed.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    shared = materialise(listed.join(stats.select("least"), "least"), "shared")
     discard(listed)
-    spans = "doc_id long, copy long, start int, n int"
-    cold = packed.where("NOT hot").drop("hot")
-    cold = cold.repartition("least").sortWithinPartitions("least").mapInArrow(_bucket(p), spans)
-    hot = packed.where("hot").drop("hot").mapInArrow(_windows(p), "least long, value long, doc_id long, copy long, start int")
-    low = hot.groupBy("least", "value").agg(F.min("doc_id").alias("low"))
-    hot = hot.join(low, ["least", "value"]).where("doc_id > low").select("doc_id", "copy", "start", F.lit(1).alias("n"))
-    out = cold.union(hot).distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    first = shared.groupBy("least", "content").agg(F.min(F.struct("doc_id", "copy", "start", "n")).alias("f"))
+    first = materialise(first.select("least", "content", "f.*"), "contents")
+    # the number of contents of a minimiser; only large ones travel on
+    large = first.groupBy("least").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > p.hot).select(F.col("least").alias("big"))
+    spots = first.join(large, F.col("least") == F.col("big"), "left").select("doc_id", "copy", F.struct("least", "content", "start", "n", F.col("big").isNotNull().alias("hot")).alias("s"))
+    spots = spots.groupBy("doc_id", "copy").agg(F.collect_list("s").alias("spots"))
+    packed = some.join(spots, ["doc_id", "copy"]).select("doc_id", "text", "spots").mapInArrow(_pack(p), "least long, content long, low long, packed binary, hot boolean")
+    packed = materialise(packed, "packed")
+    gone = "gone array<struct<start: int, n: int>>"
+    cold = packed.where("NOT hot").drop("hot").repartition("least").sortWithinPartitions("least")
+    cold = cold.mapInArrow(_bucket(p), f"least long, content long, {gone}").where("size(gone) > 0")
+    hot = materialise(packed.where("hot").drop("hot").mapInArrow(_windows(p), "least long, content long, value long, low long, inner int"), "windows")
+    lowest = materialise(hot.groupBy("least", "value").agg(F.min("low").alias("m"), F.max("low").alias("high")).where("m < high").drop("high"), "lowest")
+    hot = hot.join(lowest, ["least", "value"]).where("low > m").groupBy("least", "content").agg(F.collect_set(F.struct(F.col("inner").alias("start"), F.lit(1).alias("n"))).alias("gone"))
+    judged = materialise(cold.union(hot.select("least", "content", F.col("gone").cast("array<struct<start: int, n: int>>"))), "judged")
+    discard(packed)
+    firsts = first.select("least", "content", F.col("doc_id").alias("low"))
+    later = shared.join(firsts, ["least", "content"]).where("doc_id > low").select("doc_id", "copy", "start", "n")
+    own = shared.select("least", "content", "doc_id", "copy", "start").join(firsts.join(judged, ["least", "content"]), ["least", "content"]).where("doc_id = low")
+    own = own.select("doc_id", "copy", F.col("start").alias("at"), F.explode("gone").alias("g")).select("doc_id", "copy", (F.col("at") + F.col("g.start")).alias("start"), F.col("g.n").alias("n"))
+    out = later.union(own).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return materialise(out, "spans")
 
 

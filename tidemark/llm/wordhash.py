@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _INVERSE = pow(_BASE, -1, 2**64)
-_POW, _INV = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+POWERS, _INV = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ class Words:
             low = self.starts[i]
             j = max(i + 1, int(np.searchsorted(self.ends, low + CHUNK, "right")))
             size = int(self.ends[j - 1] - low)
-            power, inverse = (_POW, _INV) if size <= CHUNK else (_powers(_BASE, size + 1), _powers(_INVERSE, size + 1))
+            power, inverse = (POWERS, _INV) if size <= CHUNK else (_powers(_BASE, size + 1), _powers(_INVERSE, size + 1))
             total = np.zeros(size + 1, np.uint64)
             np.cumsum(table[self.data[low : low + size]] * power[:size], out=total[1:])
             s, e = self.starts[i:j] - low, self.ends[i:j] - low
@@ -140,7 +140,7 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(0, n, step):
         part = h[i : i + step + k - 1]
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _POW[: len(part)], out=total[1:])
+        np.cumsum(part * POWERS[: len(part)], out=total[1:])
         m = min(step, n - i)
         out[i : i + m] = (total[k : k + m] - total[:m]) * _INV[:m]
     return mix(out)
