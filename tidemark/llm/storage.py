@@ -30,11 +30,11 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
     at = place(spark, name)
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._tidemark_path = at  # for discard()
     return out

@@ -226,7 +226,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 0) -> str:
     spark = docs.sparkSession
     e = encoder(tokenizer)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = materialise(text.mapInArrow(_encode(tokenizer, end), "doc_id long, ids binary"), "ids")
+    coded = materialise(text.mapInArrow(_encode(tokenizer, end), "doc_id long, ids binary"), "ids", "zstd")
     # one row for each id of the vocabulary at most
     counts = coded.select("ids").mapInArrow(_count(e.dtype.str, e.size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r.id for r in counts.orderBy(F.desc("n"), "id").collect()]
@@ -234,7 +234,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = 0) -> str:
     ranks[order] = np.arange(len(order))
     at = place(spark, "tokens")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = coded.repartitionByRange(n, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # a hash stands for the ids: bounds of ranges are sampled to the driver
+    dealt = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
     dealt.mapInArrow(_blocks(e.dtype.str, ranks), _SCHEMA).write.option("compression", "none").parquet(f"{at}/blocks")
     spark.createDataFrame([(i, x) for i, x in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{at}/ranks")
     discard(coded)
