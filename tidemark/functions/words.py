@@ -61,12 +61,10 @@ def _digits(w: Column, more: int) -> Column:
 
 
 def uint(w: Column) -> Column:
-    """A word as canonical decimal text; null if it isn't hex."""
-
-    def text(x: Column) -> Column:
-        return F.when(x.startswith("0" * 49), _long(F.substring(x, 50, 15)).cast("string")).when(F.length(x) == 64, _digits(x, 0))
-
-    return F.when(is_hex(w), let(w, text))
+    """A word as canonical decimal text; null if it isn't hex. Values below 2**60 take a short way."""
+    low = F.substring(w, 50, 15)
+    long_ = F.when((F.length(w) == 64) & is_hex(w), let(w, lambda x: _digits(x, 0)))
+    return F.when(w.startswith("0" * 49) & is_hex(low), _long(low).cast("string")).otherwise(long_)
 
 
 def sint(w: Column) -> Column:
@@ -81,7 +79,7 @@ def sint(w: Column) -> Column:
 
 
 def address(w: Column) -> Column:
-    return F.when(F.length(w) >= 64, F.concat(F.lit("0x"), F.right(w, F.lit(40))))
+    return F.when(F.length(w) == 64, F.concat(F.lit("0x"), F.substring(w, 25, 40)))
 
 
 def boolean(w: Column) -> Column:

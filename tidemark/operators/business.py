@@ -295,27 +295,37 @@ def match(events: Sequence[dict], definitions: Sequence[Definition]) -> list[tup
     return out
 
 
-_MATCH = "blockNumber long, txId string, turn int, definition int, chosen array<int>"
+#: What a match keeps of the event that fills its first alias.
+_KEPT = ("blockId", "blockNumber", "blockTimestamp", "txId", "origin", "paid", "gasUsed", "gasPayer", "clauseIndex", "seq")
+_MATCH = ", ".join(f"{c} {INDEXED_EVENT[c].dataType.simpleString()}" for c in _KEPT) + ", id string, eventType string, params map<string, string>"
 
 
 def _loop(definitions: Sequence[Definition]):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        rows.sort(key=lambda r: (r["seq"]["block"], r["seq"]["tx"], r["seq"]["clause"], r["seq"]["kind"], r["seq"]["item"]))
+    """Rows come sorted by transaction; the last transaction of a batch waits for the next one."""
+
+    def found(rows: list[dict]) -> Iterator[dict]:
         for r in rows:
             r["params"] = dict(r["params"] or ())
-        place = {id(r): r["row"] for r in rows}
-        found = match(rows, definitions)
-        return pa.Table.from_pydict(
-            {
-                "blockNumber": pa.array([rows[0]["blockNumber"]] * len(found), pa.int64()),
-                "txId": pa.array([rows[0]["txId"]] * len(found), pa.string()),
-                "turn": pa.array(range(len(found)), pa.int32()),
-                "definition": pa.array([definitions.index(d) for d, _ in found], pa.int32()),
-                # the alias that the definition names first comes first
-                "chosen": pa.array([[place[id(f[a.alias])] for a in d.aliases] for d, f in found], pa.list_(pa.int32())),
-            }
-        )
+        for d, f in match(rows, definitions):
+            first = f[d.aliases[0].alias]
+            params = {p.as_name: f[p.alias]["params"].get(p.name) or _find(f[p.alias], p.name) or "" if p.alias in f else "" for p in d.params}
+            yield {c: first[c] for c in _KEPT} | {"id": first["id"], "eventType": d.name, "params": list(params.items())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held, key = None, [], None
+        for batch in batches:
+            if schema is None:
+                kinds = {f.name: f.type for f in batch.schema}
+                schema = pa.schema([(c, kinds[c]) for c in _KEPT] + [("id", pa.string()), ("eventType", pa.string()), ("params", pa.map_(pa.string(), pa.string()))])
+            out = []
+            for r in batch.to_pylist():
+                if (own := (r["blockNumber"], r["txId"])) != key:
+                    out += found(held)
+                    held, key = [], own
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(list(found(held)), schema)
 
     return run
 
@@ -325,23 +335,14 @@ def general(events: DataFrame, definitions: Sequence[Definition]) -> DataFrame:
     definitions = list(definitions)
     keys = ["blockNumber", "txId"]
     types = sorted({a.event for d in definitions for a in d.aliases})
-    some = events.where(F.col("eventType").isin(types))
-    there = some.groupBy(*keys).agg(F.collect_set("eventType").alias("types"))
-    enough = reduce(lambda x, y: x | y, [F.forall(F.array(*[F.lit(a.event) for a in d.aliases]), lambda t: F.array_contains("types", t)) for d in definitions if d.aliases], F.lit(False))
-    some = some.join(there.where(enough).select(*keys), keys, "left_semi")
-    # a row's number within its transaction is what comes back, so rows themselves travel once
-    some = some.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "id")))
-    found = some.select("row", "seq", *FIELDS, "params").groupBy(*keys).applyInArrow(_loop(definitions), _MATCH)
-    parts = []
-    for i, d in enumerate(definitions):
-        if not d.aliases:
-            continue
-        rows = found.where(F.col("definition") == i).select(*[F.col(c).alias(f"g_{c}") for c in keys], "turn", "chosen")
-        for j in range(len(d.aliases)):
-            own = some.select(*[F.col(c).alias(f"h_{c}") for c in keys], F.col("row").alias("h_row"), F.struct(*[F.col(c) for c in events.columns]).alias(f"e{j}"))
-            rows = rows.join(own, (F.col("g_blockNumber") == F.col("h_blockNumber")) & (F.col("g_txId") == F.col("h_txId")) & (F.get("chosen", F.lit(j)) == F.col("h_row"))).drop("h_blockNumber", "h_txId", "h_row")
-        parts.append(_result(rows, d))
-    return reduce(DataFrame.unionByName, parts)
+    some = events.where(F.col("eventType").isin(types)).select(*_KEPT, *[c for c in (*FIELDS, "params") if c not in _KEPT])
+    there = Window.partitionBy(*keys)
+    enough = reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.max(F.col("eventType") == t).over(there) for t in sorted({a.event for a in d.aliases})]) for d in definitions if d.aliases], F.lit(False))
+    # one shuffle and one sort serve the test for the types and the loop
+    some = some.repartition(*keys).sortWithinPartitions(*keys, "seq", "id").withColumn("_enough", enough).where("_enough").drop("_enough")
+    rows = some.sortWithinPartitions(*keys, "seq", "id").mapInArrow(_loop(definitions), _MATCH)
+    ident = event_id(F.col("txId"), F.col("clauseIndex"), F.col("seq.item"), F.col("eventType"), F.col("id"))
+    return rows.select(*[(ident if f.name == "id" else F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in INDEXED_EVENT])
 
 
 def plan(definitions: Sequence[Definition]) -> list[tuple[str, list[Definition]]]:

@@ -138,15 +138,19 @@ def _canonical(p: Param, data: Column, place: int) -> Column:
     return _text(p, value(p, data, place))
 
 
-def event_params(abi: Abi, topics: Column, data: Column) -> Column:
-    """MAP of name to canonical text. What can't be decoded is the raw topic, or ``0x`` outside the topics."""
+def event_params(abi: Abi, topics: Column, data: Column, bare: Sequence[Column] | None = None) -> Column:
+    """MAP of name to canonical text. What can't be decoded is the raw topic, or ``0x`` outside the topics.
+
+    ``bare`` has the topics without prefix, where they have a column of their own.
+    """
     cells: list[Column] = []
     topic, place = 1, 0
     for i, p in enumerate(abi.inputs):
         if p.indexed:
             raw = F.get(topics, F.lit(topic))
             static = _SCALAR.match(p.type) and not dynamic(p) and known(p)
-            got = raw if not static or p.type.startswith("bytes") else _scalar(p.type, F.when(F.length(W.strip0x(raw)) == 64, W.strip0x(raw))).cast("string")
+            own = bare[topic] if bare and topic < len(bare) else W.strip0x(raw)
+            got = raw if not static or p.type.startswith("bytes") else F.when(F.length(own) == 64, _scalar(p.type, own)).cast("string")
             cell, topic = F.coalesce(got, raw), topic + 1
         else:
             cell = F.coalesce(_canonical(p, data, place), F.lit("0x"))

@@ -37,17 +37,18 @@ def matching(abis: Iterable[Abi]) -> list[Abi]:
     return list(out.values())
 
 
-def _fits(a: Abi, topics: Column) -> Column:
-    return (_topic0(topics) == a.signature) & (F.size(topics) == a.n_topics)
-
-
-def _case(abis: Sequence[Abi], topics: Column, value, kind: str) -> Column:
+def _case(abis: Sequence[Abi], value, kind: str) -> Column:
+    """The value of the entry that a row with bare topics fits."""
     out = F.lit(None).cast(kind)
     for a in reversed(abis):
-        out = F.when(_fits(a, topics), value(a)).otherwise(out)
+        out = F.when((F.col("_t0") == a.signature) & (F.col("_n") == a.n_topics), value(a)).otherwise(out)
     return out
 
 
+#: A log has four topics at most; the next one is for registries that say otherwise.
+_TOPICS = 5
+
+
 def event_id(tx: Column, clause: Column, item: Column, *rest: Column) -> Column:
     """txId-clause-item-hash, the same in every mode and batch."""
     return F.concat_ws("-", tx, clause.cast("string"), item.cast("string"), F.lower(F.hex(F.xxhash64(*rest))))
@@ -92,13 +93,15 @@ def _event(df: DataFrame, kind: int, **cells: Column) -> DataFrame:
 def decode(rows: DataFrame, abis: Sequence[Abi], contracts: Sequence[str] = ()) -> DataFrame:
     """Indexed events of undecoded rows that an entry of the registry fits; the others are left out."""
     abis = matching(abis)
-    topics, data = F.col("topics"), W.strip0x(F.coalesce(F.col("data"), F.lit("")))
+    topics = F.col("topics")
     rows = rows.where(is_valid(topics, F.col("address"), abis, contracts))
-    name = _case(abis, topics, lambda a: F.lit(a.name), "string")
-    rows = rows.withColumn("_name", name).where("_name IS NOT NULL")
-    params = _case(abis, topics, lambda a: event_params(a, topics, data), "map<string,string>")
+    # computed once a row, below the many places that read them
+    rows = rows.withColumns({"_n": F.size(topics), "_t0": _topic0(topics), "_data": W.strip0x(F.coalesce("data", F.lit("")))} | {f"_t{i}": W.strip0x(F.get(topics, F.lit(i))) for i in range(1, _TOPICS)})
+    rows = rows.withColumn("_name", _case(abis, lambda a: F.lit(a.name), "string")).where("_name IS NOT NULL")
+    bare = [F.col(f"_t{i}") for i in range(_TOPICS)]
+    params = _case(abis, lambda a: event_params(a, topics, F.col("_data"), bare), "map<string,string>")
     ident = event_id(F.col("txId"), F.col("clauseIndex"), F.col("item"), F.col("address"), topics, F.col("data"))
-    return _event(rows, 0, id=ident, eventType=F.col("_name"), params=params, raw=F.struct("data", "topics"), signature=_topic0(topics))
+    return _event(rows, 0, id=ident, eventType=F.col("_name"), params=params, raw=F.struct("data", "topics"), signature=F.col("_t0"))
 
 
 def match_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
