@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, components, langid, minhash, mixing, quality, rules, substring, tokenfile, urls, wordhash
+from tidemark.llm import ann, bpe, components, langid, minhash, mixing, quality, rules, substring, tokenfile, url_sql, urls, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id long, key string, size long"
 RANKS, PATTERN, MODEL = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -222,6 +223,10 @@ def test_urls_follow_links_and_let_allow_win(spark):
         (7, "d.net", "/q", None, "allow"), (8, "d.net", "/de/", "net/de/", "block"), (9, "d.net", "", None, "allow"), (10, "r.org", "/o", None, "block"), (11, "www.example.com", "/en/70", "example.com/en/7", "allow"),
         (12, "example.net", "/de/8", "example.net/de/8", "block"), (13, "notexample.com", "/en/7", "com/en/", "block"), (14, "e.com", "/a/b", None, "block"), (15, "e.com", "/a/c", None, "block"), (None, "b.com", "/en/1", "com/en/", "block"),
     }
+    own = pages.toPandas()  # the SQL knows no table of redirects
+    duckdb.register("pages", own)
+    want = Counter(tuple(r) for r in duckdb.sql(url_sql.sql(RULES)).fetchall())
+    assert Counter(None if r.page_id is None else (r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, RULES).collect()) == Counter(None if r[0] is None or r[0] != r[0] else (int(r[0]), *r[1:]) for r in want.elements())
     assert urls.judge(pages, RULES).count() == 17 and urls.judge(pages.limit(0), RULES).count() == 0
 
 

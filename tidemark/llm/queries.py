@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
-from . import ann, bpe, langid, minhash, mixing, quality, rules, substring, tokenfile, urls
+from . import ann, bpe, langid, minhash, mixing, quality, rules, substring, tokenfile, url_sql, urls
 from .storage import read
 
 URL_RULES = (
@@ -151,4 +151,4 @@ FROM d LEFT JOIN y USING (r) LEFT JOIN z USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op3_minhash_dedup": _OP3, "op9_source_mixing": _OP9, "op10_substring_dedup": _OP10}
+    return {"op1_quality_rules": _OP1, "op3_minhash_dedup": _OP3, "op4_url_filters": url_sql.sql(URL_RULES), "op9_source_mixing": _OP9, "op10_substring_dedup": _OP10}
