@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import combine, events
 from tidemark.operators.registry import Abi, Param
 from tidemark.sources import client as C
+from tidemark.sources import lookup
 from tidemark.sources.chain import register
 from tidemark.streaming import retry as R
 from tidemark.streaming.runtime import BlockIndexer, Builder, LogIndexer, Runner, Status
@@ -65,6 +67,20 @@ def test_batch_source(spark, node):
     assert read("transfers").where("sender = '0x9'").count() == 0
 
 
+def test_lookups_and_criteria(spark, node, tmp_path):
+    df = spark.createDataFrame([("0x1", 1), ("0x1", 2), (None, 3)], "who string, n int")
+    got = sorted((r.n, r.balance, r.hasCode) for r in lookup.with_accounts(df, "who", {"path": str(node)}).collect())
+    assert got == [(1, "0x0", False), (2, "0x0", False), (3, None, None)]
+    assert {r.code for r in lookup.with_code(df, "who", {"path": str(node)}).collect()} == {"0x", None}
+    register(spark)
+    logs = spark.read.format("chain").options(mode="events", path=str(node)).load()
+    moves = spark.read.format("chain").options(mode="transfers", path=str(node)).load()
+    every = events.decode(events.log_events(logs), [ABI]).unionByName(events.log_transfers(moves))
+    assert combine.Criteria(("Moved",)).apply(every).count() == logs.count()
+    assert combine.Criteria(contracts=("0x" + "C" * 40,), transfers=True).apply(every).count() == logs.count() + 31
+    assert combine.Criteria(("A", "B"), ("B", "C")).names == ["A", "B", "C"]
+
+
 def test_client_pages_and_waits(node):
     own = C.FileClient(str(node), 20)
     assert own.block("best")["number"] == 30 and own.block("finalized")["number"] == 20

@@ -3,13 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.schemas import TRANSFER
 
 from . import business, events
 from .registry import Abi
 
 
+@dataclass(frozen=True)
+class Criteria:
+    """What a consumer wants to see of an event table; empty lists mean everything."""
+
+    events: tuple[str, ...] = ()
+    business_events: tuple[str, ...] = ()
+    contracts: tuple[str, ...] = ()
+    transfers: bool = False
+    remove_duplicates: bool = True
+
+    @property
+    def names(self) -> list[str]:
+        """Event types of both kinds, each once."""
+        return list(dict.fromkeys((*self.events, *self.business_events)))
+
+    def apply(self, table: DataFrame) -> DataFrame:
+        """Rows of the wanted types and contracts; transfers and business events have no contract."""
+        kind = F.col("eventType")
+        ok = kind.isin(self.names) if self.names else F.lit(True)
+        ok = (kind == TRANSFER) & F.lit(self.transfers) | (kind != TRANSFER) & ok
+        if self.contracts:
+            ok = ok & (F.col("address").isNull() | F.lower("address").isin([c.lower() for c in self.contracts]))
+        return table.where(ok)
+
+
 def without_used(abi_events: DataFrame, business_events: DataFrame) -> DataFrame:
     """Events of no transaction and clause that has a business event, and the business events."""
     keys = ["txId", "clauseIndex"]

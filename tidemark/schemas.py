@@ -50,4 +50,5 @@ INDEXED_EVENT = _row(
 )
 #: Fields of an event that conditions and rules can name.
 FIELDS = ("id", "blockId", "blockNumber", "blockTimestamp", "txId", "origin", "address", "eventType", "clauseIndex", "signature", "gasPayer")
+#: Fixed value: the type of native transfers, which definitions refer to.
 TRANSFER = "VET_TRANSFER"
