@@ -304,7 +304,8 @@ def test_language_of_whole_texts(spark, docs, empty):
 def test_tables_equal_the_convolution():
     p = langid.Params(epochs=1, windows=2)
     model = langid.fit(["abc " * 50, "xyz " * 50], ["a", "b"], p)
-    x, row, size = langid.windows_of(np.frombuffer(b"abc xyz " * 40 + b"z", np.uint8), np.array([0, 320, 321]), 128)
+    start, row, size = langid.places(np.array([0, 320, 321]), 128)
+    x = langid.cut(np.frombuffer(b"abc xyz " * 40 + b"z", np.uint8), start, size, 128)
     assert size.tolist() == [128, 128, 64, 1] and row.tolist() == [0, 0, 0, 1]
     f = p.filters
     want = np.zeros((len(x), len(model.bias)), np.float32)

@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from .wordhash import pieces, raw
 
 
+#: Windows that are cut at once.
+HELD = 8192
+
+
 @dataclass(frozen=True)
 class Params:
     docs: int = 300
@@ -127,19 +131,20 @@ def _gradient(w: dict, x: np.ndarray, y: np.ndarray, p: Params) -> dict:
     return g
 
 
-def windows_of(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded windows of all rows, the row and the bytes of each."""
+def places(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, row and number of bytes of each window of all rows."""
     sizes = np.diff(rows)
     counts = -(-sizes // length)
     row = np.repeat(np.arange(len(sizes)), counts)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = rows[:-1][row] + inner * length
-    size = np.minimum(length, rows[1:][row] - start)
-    padded = np.concatenate([data, np.zeros(length, np.uint8)])
-    out = padded[start[:, None] + np.arange(length)]
-    short = np.flatnonzero(size < length)
-    out[short] *= (np.arange(length) < size[short, None]).astype(np.uint8)
-    return out, row, size
+    return start, row, np.minimum(length, rows[1:][row] - start)
+
+
+def cut(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Windows as rows, padded with zeros."""
+    at = np.minimum(start[:, None] + np.arange(length), max(len(data) - 1, 0))
+    return data[at] * (np.arange(length) < size[:, None]).astype(np.uint8)
 
 
 def probabilities(model: Model, x: np.ndarray, block: int = 32) -> np.ndarray:
@@ -170,9 +175,12 @@ def _predict(model: Model | None):
                 letters = np.array([x is not None and any(map(str.isalpha, x)) for x in part.column("text").to_pylist()], bool)
                 names, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
                 if model is not None and letters.any():
-                    x, row, size = windows_of(*raw(part.column("text")), model.length)
+                    data, rows = raw(part.column("text"))
+                    start, row, size = places(rows, model.length)
                     total = np.zeros((part.num_rows, len(model.languages)))
-                    np.add.at(total, row, probabilities(model, x) * size[:, None])
+                    for at in range(0, len(start), HELD):  # a very long text is not held as windows at once
+                        some = slice(at, at + HELD)
+                        np.add.at(total, row[some], probabilities(model, cut(data, start[some], size[some], model.length)) * size[some, None])
                     some = np.flatnonzero(letters)
                     mean = total[some] / total[some].sum(axis=1, keepdims=True)
                     names[some] = np.array(model.languages, object)[mean.argmax(axis=1)]
