@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .storage import discard, materialise
 from .wordhash import POWERS, Words, grams, long, mix, pieces, windows
 
-SPACES = " \t\n\x0b\x0c\r"
+#: Windows of a super-k-mer at most; longer runs are parted.
+LONGEST = 1024
 
 
 @dataclass(frozen=True)
@@ -74,13 +75,16 @@ def _cut(h: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
     start = np.concatenate([np.arange(a, b - p.window + 1) for a, b in zip(at[:-1], at[1:], strict=True) if b - a >= p.window] or [np.zeros(0, np.int64)]).astype(np.int64)
     if not len(start):
         return none, none, none, no, no
-    m = place[start]
+    m = seeds[place[start]]
+    # the value counts, not its place: a line said over and over is one run
     first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (row[1:] != row[:-1])]))
     n = np.diff(np.concatenate([first, [len(start)]]))
-    inner = np.arange(len(start)) - np.repeat(first, n)
+    inner = (np.arange(len(start)) - np.repeat(first, n)) % LONGEST
+    first = np.flatnonzero(inner == 0)
+    n = np.diff(np.concatenate([first, [len(start)]]))
     words = windows(h, p.window)[start] * POWERS[inner]
     content = mix(np.add.reduceat(words, first) + n.astype(np.uint64))
-    return row[first], start[first] - at[row[first]], n, seeds[m[first]], content
+    return row[first], start[first] - at[row[first]], n, m[first], content
 
 
 def _list(p: Params):
@@ -202,7 +206,9 @@ def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     listed = materialise(some.mapInArrow(_list(p), "least long, content long, doc_id long, copy long, start int, n int"), "superkmers")
     stats = listed.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = materialise(listed.join(stats.select("least"), "least"), "shared")
+    # written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
+    stats = materialise(stats.select("least"), "minimisers")
+    shared = materialise(listed.join(stats, "least"), "shared")
     discard(listed)
     first = shared.groupBy("least", "content").agg(F.min(F.struct("doc_id", "copy", "start", "n")).alias("f"))
     first = materialise(first.select("least", "content", "f.*"), "contents")
