@@ -192,7 +192,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     rows = classes.select("cid", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub < far")
-    rows = materialise(rows.join(shared.select("key", "hub"), "key").distinct(), "buckets")
+    # written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
+    shared = materialise(shared.select("key", "hub"), "shared")
+    rows = materialise(rows.join(shared, "key").distinct(), "buckets")
     pairs = materialise(rows.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     # texts only of classes that share a bucket with another
     named = rows.select("cid").distinct()

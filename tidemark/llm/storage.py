@@ -6,28 +6,15 @@ survives the loss of executors, because every executor can read it again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder. Unset is allowed in local mode only, where one machine holds all."""
-    at = spark.conf.get(SETTING, None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(SETTING, at)
-    return at
+from tidemark.session import shared_folder
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
