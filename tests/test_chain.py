@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import chain, schedule
 from tidemark.operators.schedule import Node
+from tidemark.plans import queries
 from tidemark.sources.revision import Revision
 
 
@@ -28,6 +29,16 @@ def test_windows_and_status(spark):
         chain.progress(df, 0, 1)
 
 
+def test_prefetch_query_covers_later_events(spark):
+    """Events after 'now' have a row of one block, or what is left of the most."""
+    at = "/root/testdata/sf0.001"
+    want = {}
+    for i, t in spark.read.parquet(f"{at}/events.parquet").select("event_id", F.unix_timestamp("ts")).collect():
+        want[i] = i % 20 if i % 11 == 0 else min(i % 20, max((1706000000 - t) // 10, 0) + 1)
+    rows = queries.prefetch_window(spark, at).collect()
+    assert len(rows) == len(want) and {r.event_id: r.size for r in rows} == want
+
+
 def names(groups):
     return [[n.name for n in g] for g in groups]
 

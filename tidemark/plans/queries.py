@@ -393,7 +393,7 @@ def block_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN event_id % 20 ELSE least(event_id % 20, greatest((1706000000 - floor(epoch(ts))::BIGINT) // 10, 0) + 1) END::BIGINT AS size FROM events WHERE floor(epoch(ts))::BIGINT <= 1706000000")
 def prefetch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("t")).where("t <= 1706000000")
+    e = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("t"))
     last = F.when(F.col("event_id") % 11 != 0, F.col("t"))
     return e.select("event_id", chain.prefetch(last, 1706000000, F.col("event_id") % 20).alias("size"))
 
