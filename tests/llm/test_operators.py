@@ -349,6 +349,22 @@ def test_neighbours_and_recall(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df.where("vec_id >= 2000"), F.lit(True)).count() == 0
 
 
+def test_repeated_vectors_count_once(spark):
+    """Each row twice, the nearest one nine times, an id with a vector and its double: as without the repeats."""
+    df = vectors(spark)[0].where("vec_id < 60")
+    p = ann.Params(pivots=16, near=8, block=4096, least=4096)
+    rows = lambda d: sorted(ann.nearest(d.coalesce(1), F.col("vec_id") % 20 == 0, params=p).collect())  # noqa: E731, one block
+    want = rows(df)
+    assert [r["rank"] for r in want] == [1, 2, 3, 4, 5] * 3
+    near = df.join(spark.createDataFrame([(r.vec_id,) for r in want if r["rank"] == 1], "vec_id long").distinct(), "vec_id")
+    many = df.union(df)
+    for _ in range(7):
+        many = many.union(near)
+    doubled = near.select("vec_id", F.transform("embedding", lambda x: x * 2))
+    for got in (rows(df.union(df)), rows(many), rows(df.union(doubled))):
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
 def test_mix_meets_its_targets(spark, docs, empty):
     rng = random.Random(8)
     sizes = {"a": 400, "b": 300, None: 500, "c": 3, "d": 200}

@@ -15,7 +15,9 @@ blocks to all index blocks, each of which gives its best few for each query.
 Cases: vectors that are null, zero, or hold null or non-finite components take
 no part; nor do those of another length than most (the shorter, of equally many).
 Rows with a null id take no part. A query's own row is not a candidate: rows of
-the same id aren't. Ties go to the smaller id. Fewer candidates than asked for
+the same id aren't. Repeated rows (same id and vector) count once, as queries and
+as candidates; an id with several vectors is a candidate with each, once for each
+score, and its neighbours as a query are the best over all its vectors. Ties go to the smaller id. Fewer candidates than asked for
 give as many rows; an empty table gives an empty one.
 """
 
@@ -79,6 +81,8 @@ def _index(pivots: np.ndarray, near: int, dim: int, size: int):
         whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * dim))).reshape(-1)
         _, one, entry = np.unique(whole, return_index=True, return_inverse=True)
         by_entry = np.lexsort((ids, entry))
+        # repeated rows are one
+        by_entry = by_entry[np.r_[True, (np.diff(entry[by_entry]) != 0) | (np.diff(ids[by_entry]) != 0)]]
         ids, x, entry = ids[by_entry], x[one], np.searchsorted(entry[by_entry], np.arange(len(one) + 1))
         order = _orders(x, pivots, near)
         flat = order.reshape(-1)
@@ -125,6 +129,7 @@ def _search(p: Params, n_pivots: int, dim: int, k: int):
         found = []
         # a vector without the query's pivot, or the query without the vector's, has place ``near`` there
         whole = near * (near + 1)
+        several = len(np.unique(ids)) < len(ids)  # an id has more than one vector here
         for i, own in enumerate(got["queries"]):
             far = np.full(n, whole, np.int32)
             for place, pivot in enumerate(order[i]):
@@ -135,14 +140,18 @@ def _search(p: Params, n_pivots: int, dim: int, k: int):
             v = q[i]
             score = (x[some] * v).sum(axis=1) / (norm[some] * np.sqrt((v * v).sum()))
             # the best entries hold k rows besides the query's own; all entries as good as the last one are looked at
-            least = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf
+            least = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 and not several else -np.inf
             some, score = some[score >= least], score[score >= least]
             rows = [ids[entry[e] : entry[e + 1]] for e in some]
-            rows = [(r[: k + 1] if own not in r[: k + 1] else r[: k + 2]) for r in rows]  # sorted by id
+            if not several:
+                rows = [(r[: k + 1] if own not in r[: k + 1] else r[: k + 2]) for r in rows]  # sorted by id
             rows = [r[r != own] for r in rows]
             score = np.repeat(score, [len(r) for r in rows])
             rows = np.concatenate(rows)
-            top = np.lexsort((rows, -score))[:k]
+            top = np.lexsort((rows, -score))
+            if several and len(top):
+                top = top[np.r_[True, (np.diff(rows[top]) != 0) | (np.diff(score[top]) != 0)]]
+            top = top[:k]
             found.append((np.full(len(top), own), rows[top], score[top]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -164,8 +173,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, params: Params = Pa
         return spark.createDataFrame([], schema)
     dim = lengths[0]["d"]
     v = v.where(F.size("embedding") == dim)
-    # at most 8 * pivots vectors
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * p.pivots).collect()
+    # one vector each of at most 8 * pivots ids
+    some = v.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * p.pivots)
+    sample = v.join(F.broadcast(some), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").collect()
     pivots = _apart(_unit(np.array(list(dict.fromkeys(tuple(r.embedding) for r in sample)))), p.pivots)
     near = min(p.near, len(pivots))
     index = materialise(v.mapInArrow(_index(pivots, near, dim, p.block), _INDEX), "index")
