@@ -230,6 +230,12 @@ def test_urls_follow_links_and_let_allow_win(spark):
     assert urls.judge(pages, RULES).count() == 17 and urls.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_canonical_among_other_link_types(spark):
+    links = ('<link rel="canonical nofollow" href="http://b.com/en/1">', "<link rel='me\nCanonical' href='http://b.com/en/1'>", '<link rel="not-canonical" href="http://b.com/en/1">', '<link rel="canonicals nofollow" href="http://b.com/en/1">')
+    pages = spark.createDataFrame([(i, f"http://a{i}.com/x", tag) for i, tag in enumerate(links)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, RULES).collect()) == [(0, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+
+
 def test_bpe_equals_the_library(docs, empty):
     ranks = bpe.encoding(RANKS, PATTERN)._mergeable_ranks
     e = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
