@@ -371,6 +371,19 @@ def test_repeated_vectors_count_once(spark):
         assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
+def test_every_length_is_searched(spark):
+    """Two lengths, the rarer one too, and an id that has both: each among its own length."""
+    df = vectors(spark)[0].where("vec_id < 60")
+    p = ann.Params(pivots=16, near=8, block=4096, least=4096)
+    rows = lambda d: {tuple(r) for r in ann.nearest(d, F.col("vec_id") % 20 == 0, params=p).collect()}
+    short = df.where("vec_id < 50").select((F.col("vec_id") + 1000).alias("vec_id"), F.slice("embedding", 1, 4).alias("embedding"))
+    assert len(rows(short)) == 15
+    assert rows(df.union(short)) == rows(df) | rows(short)
+    both = short.select(F.when(F.col("vec_id") == 1020, 0).otherwise(F.col("vec_id")).alias("vec_id"), "embedding")
+    best = sorted([r for r in rows(df) if r[0] == 0] + [r for r in rows(short) if r[0] == 1020], key=lambda r: (-r[3], r[2]))[:5]
+    assert sorted(r[1:] for r in rows(df.union(both)) if r[0] == 0) == [(i + 1, *r[2:]) for i, r in enumerate(best)]
+
+
 def test_mix_meets_its_targets(spark, docs, empty):
     rng = random.Random(8)
     sizes = {"a": 400, "b": 300, None: 500, "c": 3, "d": 200}

@@ -13,8 +13,8 @@ vectors of the ``8 * pivots`` smallest hashes of the id, without near copies. Qu
 blocks to all index blocks, each of which gives its best few for each query.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take
-no part; nor do those of another length than most (the shorter, of equally many).
-Rows with a null id take no part. A query's own row is not a candidate: rows of
+no part. Each length that a query has is indexed apart, and a vector is searched
+among those of its own length. Rows with a null id take no part. A query's own row is not a candidate: rows of
 the same id aren't. Repeated rows (same id and vector) count once, as queries and
 as candidates; an id with several vectors is a candidate with each, once for each
 score, and its neighbours as a query are the best over all its vectors. Ties go to the smaller id. Fewer candidates than asked for
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,16 +164,9 @@ def _search(p: Params, n_pivots: int, dim: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, params: Params = Params()) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which ``queries`` holds, by cosine."""
-    p, spark = params, vectors.sparkSession
-    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    lengths = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    dim = lengths[0]["d"]
-    v = v.where(F.size("embedding") == dim)
+def _found(v: DataFrame, dim: int, queries: Column, k: int, p: Params) -> DataFrame:
+    """query_id, vec_id, score: the best of each block of the index, over vectors of one length."""
+    spark = v.sparkSession
     # one vector each of at most 8 * pivots ids
     some = v.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * p.pivots)
     sample = v.join(F.broadcast(some), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").collect()
@@ -185,6 +179,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, params: Params = Pa
     left = index.withColumn("lane", F.pmod(F.xxhash64("block", "ids"), F.lit(lanes)))
     right = asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     pairs = left.join(right.hint("shuffle_hash"), "lane").drop("lane", "block")
-    found = pairs.mapInArrow(_search(p, len(pivots), dim, k), "query_id long, vec_id long, score double").distinct()
+    return pairs.mapInArrow(_search(p, len(pivots), dim, k), "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, params: Params = Params()) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row for which ``queries`` holds, by cosine."""
+    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    size = F.size("embedding")
+    # a row for each length
+    lengths = sorted(r.d for r in v.where(queries).select(size.alias("d")).distinct().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.union, [_found(v.where(size == d), d, queries, k, params) for d in lengths]).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
