@@ -280,6 +280,17 @@ def test_cotraining_separates_the_classes(spark, docs, empty):
     assert quality.score(some, model).columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_each_round_hands_over_new_rows(monkeypatch):
+    """A pool of sure rows: as many of each class in every round, while there are some."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(600) > 0.5).astype(float)
+    t, m = rng.normal(size=(600, 3)) + y[:, None] * 8, rng.normal(size=(600, 2)) + y[:, None] * 8
+    plain, sizes = quality.logistic, []
+    monkeypatch.setattr(quality, "logistic", lambda x, y, *a, **b: sizes.append((x.shape[1], len(y))) or plain(x, y, *a, **b))
+    quality.fit(t[:100], m[:100], y[:100], t[100:], m[100:], quality.Params(handed=30, sure=0.8))
+    assert [n for d, n in sizes if d == 3] == [80, 140, 200, 260]
+
+
 def test_views_teach_each_other():
     """Labels for a fifth only in one view's reach: the other view still learns them from its pseudo-labels."""
     rng = np.random.default_rng(1)

@@ -140,7 +140,7 @@ def fit(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m:
             rows, labels = given[1 - i]
             known = set(rows)
             for label, rank in ((1.0, -sure), (0.0, sure)):
-                best = [j for j in np.argsort(rank, kind="stable")[: p.handed].tolist() if (sure[j] >= p.sure if label else sure[j] <= 1 - p.sure) and j not in known]
+                best = [j for j in np.argsort(rank, kind="stable").tolist() if (sure[j] >= p.sure if label else sure[j] <= 1 - p.sure) and j not in known][: p.handed]
                 rows += best
                 labels += [label] * len(best)
     odds = np.stack([np.clip(_odds(_odds(own[held], wi)[:, None], s), -12, 12) for own, wi, s in zip(views, w, scale, strict=True)], axis=1)
