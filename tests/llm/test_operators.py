@@ -318,6 +318,17 @@ def test_language_of_whole_texts(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    """Long texts that differ only after 66,000 characters."""
+    rng = random.Random(4)
+    tail = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = {"a": "bcdfg ", "b": "mnpqr "}
+    df = spark.createDataFrame([(i, "same " * 13200 + tail(letters[k], 66000), k) for i, k in enumerate("ab" * 15)], "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True), langid.Params(epochs=10))
+    new = spark.createDataFrame([(i, tail(letters[k], 1000)) for i, k in enumerate("ab" * 10)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in langid.predict(new, model).collect()) == list(enumerate("ab" * 10))
+
+
 def test_tables_equal_the_convolution():
     p = langid.Params(epochs=1, windows=2)
     model = langid.fit(["abc " * 50, "xyz " * 50], ["a", "b"], p)

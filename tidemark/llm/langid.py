@@ -61,20 +61,26 @@ class Model:
     out: np.ndarray
 
 
+def spread(data: np.ndarray, p: Params) -> np.ndarray:
+    """At most ``windows`` windows of a text's bytes, evenly spread over all of it."""
+    starts = np.arange(0, max(1, len(data)), p.length)
+    starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), p.windows)).astype(int))]
+    x = np.zeros((len(starts), p.length), np.uint8)
+    for part, s in zip(x, starts, strict=True):
+        part[: len(data[s : s + p.length])] = data[s : s + p.length]
+    return x
+
+
 def fit(texts: list[str], labels: list[str], p: Params) -> Model:
-    """Train on windows of labelled texts with Adam."""
+    """Train on windows of labelled texts."""
+    return learn([spread(np.frombuffer(t.encode(), np.uint8), p) for t in texts], labels, p)
+
+
+def learn(windows: list[np.ndarray], labels: list[str], p: Params) -> Model:
+    """Train with Adam on the windows of each labelled text."""
     rng = np.random.default_rng(p.seed)
     names = tuple(sorted(set(labels)))
-    x, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        starts = np.arange(0, max(1, len(data)), p.length)
-        for s in starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), p.windows)).astype(int))]:
-            part = np.zeros(p.length, np.uint8)
-            part[: len(data[s : s + p.length])] = data[s : s + p.length]
-            x.append(part)
-            y.append(names.index(label))
-    x, y = np.array(x), np.array(y)
+    x, y = np.concatenate(windows), np.repeat([names.index(label) for label in labels], [len(w) for w in windows])
     f = p.filters
     w = {"e": rng.normal(0, 0.5, (256, p.embed)), "d": rng.normal(0, 0.1, (f * len(p.widths), len(names))), "o": np.zeros(len(names))}
     for k in p.widths:
@@ -190,6 +196,20 @@ def _predict(model: Model | None):
     return run
 
 
+def _windows(p: Params):
+    """The windows of each text that has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                data, rows = raw(part.column("text"))
+                some = [i for i, x in enumerate(part.column("text").to_pylist()) if any(map(str.isalpha, x))]
+                x = [spread(data[rows[i] : rows[i + 1]], p).tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays([*part.select(["doc_id", "lang"]).take(pa.array(some, pa.int64())).columns, pa.array(x, pa.binary())], ["doc_id", "lang", "windows"])
+
+    return run
+
+
 def train(docs: DataFrame, usable: Column, params: Params = Params()) -> Model | None:
     """A model from rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds; None without any."""
     p = params
@@ -197,9 +217,10 @@ def train(docs: DataFrame, usable: Column, params: Params = Params()) -> Model |
     # ids only; each task keeps its own first few of a language before they meet
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = labelled.select("doc_id", "lang").withColumn("turn", first).where(F.col("turn") <= p.docs).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.substring("text", 1, 65536).alias("text")).collect()
-    rows = [r for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text)) if any(map(str.isalpha, r.text))]
-    return fit([r.text for r in rows], [r.lang for r in rows], p) if rows else None
+    texts = labelled.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    # at most ``windows`` windows of each
+    rows = sorted(texts.mapInArrow(_windows(p), "doc_id long, lang string, windows binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.windows)))
+    return learn([np.frombuffer(r.windows, np.uint8).reshape(-1, p.length) for r in rows], [r.lang for r in rows], p) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
