@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's result as Parquet to the shared folder and gives it to the next.
-Rows of one doc_id count as one document from the second stage on.
+Rows of one doc_id and text count as one document from the second stage on;
+different texts of one id are documents of their own.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each component at 0.8 over five-word shingles. Documents without an id stay."""
     ship(spark)
-    judged = minhash.near_duplicates(docs)
-    gone = materialise(judged.where("NOT kept").select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    judged = minhash.judged_copies(docs)
+    one = ["doc_id", "copy"]
+    gone = materialise(judged.where("NOT kept").select(*one).distinct(), "gone")
+    docs = docs.withColumn("copy", F.xxhash64("text"))
+    out = docs.join(gone, one, "left_anti").select(*COLUMNS, "copy")
+    repeated = materialise(docs.where("doc_id IS NOT NULL").groupBy(*one).count().where("count > 1").select(*one), "repeated")
     if not repeated.head(1):
-        return out
-    several = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(several.select(*COLUMNS))
+        return out.select(*COLUMNS)
+    several = out.join(repeated, one, "left_semi").dropDuplicates(one)
+    return out.join(repeated, one, "left_anti").select(*COLUMNS).union(several.select(*COLUMNS))
 
 
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,6 +190,17 @@ def test_near_duplicates_of_shared_passages_and_chains(spark):
     assert got == brute_near(rows, 2)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """A copy and an own text under one id; near copies of either; two near texts under one id."""
+    a, b, c = (prose(80, 40 + i, 4000) for i in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " end"), (4, c), (4, c + " end"), (5, c + " end")]
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(4)
+    got = minhash.judged_copies(df).select("doc_id", "copy", "component_id", "kept").distinct()
+    seen = {(r.doc_id, r.text): (r.component_id, r.kept) for r in got.join(df.select("text", F.xxhash64("text").alias("copy")).distinct(), "copy").collect()}
+    assert [seen[x] for x in rows[:5]] == [(1, True), (1, False), (2, True), (2, True), (2, False)]
+    assert [seen[x][0] for x in rows[5:]] == [4, 4, 4] and sorted(seen[x][1] for x in rows[5:7]) == [False, True] and not seen[rows[7]][1]
+
+
 def test_open_pairs_lose_nothing(spark):
     """The prefix and positional filter leaves every similar pair of different labels."""
     rng = np.random.default_rng(5)

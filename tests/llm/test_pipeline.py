@@ -64,6 +64,12 @@ def test_stages_take_effect(spark, folder):
     assert all(r.ids == e.encode_ordinary(mixed[r.doc_id] or "") for r in rows)
 
 
+def test_own_text_of_a_repeated_id_stays(spark, folder):
+    a, b = prose(90, 5001, 2000), prose(90, 5002, 2000)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(1, a), (2, a), (2, b), (2, b)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()) == [(1, a), (2, b)]
+
+
 def test_run_equals_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and {len(r.ids) == r.n_tokens for r in rows} == {True}

@@ -15,7 +15,9 @@ filter leaves are confirmed too. So each pair of a bucket is connected,
 verified, or proven too different, and no bucket emits all its pairs.
 
 Cases: null, empty and blank texts have an empty set, are linked with nothing
-and stay. Rows that share a ``doc_id`` are one document. Rows with a null id are
+and stay. Rows that share a ``doc_id`` and the text are one document. Different
+texts of one id are judged each by its own set; of those in one component at most
+one text is kept. Texts are told apart by 64-bit hashes. Rows with a null id are
 linked with nothing. An empty table gives an empty table. Columns other than the
 id and the text are not read.
 """
@@ -107,7 +109,7 @@ def _sign(p: Params):
                     one[full] = np.add.reduceat(mix(every + np.uint64(1)), at[:-1])
                     two[full] = np.bitwise_xor.reduceat(mix(every * MULT[41]), at[:-1])
                 bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * p.bands, long(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), long(sizes), long(one), long(two), bands], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copy"), long(sizes), long(one), long(two), bands], ["doc_id", "copy", "n_shingles", "h1", "h2", "bands"])
 
     return run
 
@@ -182,13 +184,19 @@ def _open_pairs(open_: DataFrame, p: Params) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    return judged_copies(docs, params).drop("copy")
+
+
+def judged_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``copy``, the xxhash64 of the text."""
     p = params
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(text.mapInArrow(_sign(p), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+    signed = materialise(text.mapInArrow(_sign(p), "doc_id long, copy long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     one = ["h1", "h2", "n_shingles"]
-    classes = known.groupBy(*one).agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("members"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = materialise(classes, "classes")
+    classes = known.groupBy(*one).agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.min_by("bands", "doc_id").alias("bands"))
+    # a class is named by its first text, as an id may have several
+    classes = materialise(classes.withColumn("cid", F.xxhash64("first.doc_id", "first.copy")), "classes")
 
     rows = classes.select("cid", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub < far")
@@ -198,7 +206,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     pairs = materialise(rows.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     # texts only of classes that share a bucket with another
     named = rows.select("cid").distinct()
-    sets = materialise(text.join(named, text.doc_id == named.cid, "left_semi").withColumnRenamed("doc_id", "cid").dropDuplicates(["cid"]).mapInArrow(_sets(p), "cid long, items binary"), "sets") if pairs.head(1) else None
+    sets = materialise(text.select(F.xxhash64("doc_id", "copy").alias("cid"), "text").join(named, "cid", "left_semi").dropDuplicates(["cid"]).mapInArrow(_sets(p), "cid long, items binary"), "sets") if pairs.head(1) else None
     label = None
     if sets is not None:
         links = materialise(_verified(pairs, sets, p), "links")
@@ -213,13 +221,17 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
             label = materialise(components(links.union(more), "a", "b"), "labels")
         discard(sets)
 
-    cls = classes.select(*one, "cid", "members")
+    cls = classes.select(*one, "cid", "first")
     if label is not None:
-        cls = cls.join(label.withColumnRenamed("node", "cid"), "cid", "left").select(*one, F.coalesce("component", "cid").alias("component_id"), "members")
+        linked = materialise(label.join(cls.select(F.col("cid").alias("node"), "first"), "node"), "linked")
+        least = linked.groupBy("component").agg(F.min("first").alias("least"))
+        linked = linked.join(least, "component").select(F.col("node").alias("cid"), "least")
+        cls = cls.join(linked, "cid", "left").select(*one, F.coalesce("least", "first").alias("least"))
     else:
-        cls = cls.withColumnRenamed("cid", "component_id")
+        cls = cls.withColumnRenamed("first", "least")
     cls = cls.alias("c")
-    out = signed.select("doc_id", *one).alias("s").join(cls, [F.col(f"s.{x}") == F.col(f"c.{x}") for x in one], "left")
-    component = F.when(F.col("s.n_shingles") > 0, F.col("component_id")).otherwise(F.col("s.doc_id"))
-    component = F.when(F.col("s.doc_id").isNotNull(), component)
-    return out.select("s.doc_id", F.col("s.n_shingles").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("s.doc_id"), F.lit(True)).alias("kept"))
+    out = signed.select("doc_id", "copy", *one).alias("s").join(cls, [F.col(f"s.{x}") == F.col(f"c.{x}") for x in one], "left")
+    linkable = F.col("s.doc_id").isNotNull() & (F.col("s.n_shingles") > 0)
+    component = F.when(linkable, F.col("least.doc_id")).otherwise(F.col("s.doc_id"))
+    kept = ~linkable | ((F.col("least.doc_id") == F.col("s.doc_id")) & (F.col("least.copy") == F.col("s.copy")))
+    return out.select("s.doc_id", "s.copy", F.col("s.n_shingles").alias("n_shingles"), component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
