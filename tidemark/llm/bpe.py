@@ -2,8 +2,10 @@
 
 Long texts are cut before a space that follows a word character: no match of the
 splitting pattern goes over such a place and no look-ahead sees past it, so the
-parts encode to the same ids as the whole. Decoding joins the raw bytes of ids;
-they need not be valid text.
+parts encode to the same ids as the whole. A run of very many white-space characters
+is one match, without its last character if something follows, and goes to the
+library as one piece: its pattern matcher has no room for such a run. Decoding joins
+the raw bytes of ids; they need not be valid text.
 
 Cases: null counts as empty; an empty text has no ids and decodes to no bytes.
 Strings that look like special tokens are ordinary text. Repeated rows stay, and
@@ -30,6 +32,9 @@ from .wordhash import pieces
 #: Characters of a text that are encoded at once, up to the next safe boundary.
 SPLIT = 1 << 16
 _SAFE = re.compile(r"\w ")
+#: White space, as the library's pattern has it, that is more than the matcher gets.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = re.compile(_SPACE + "{4096,}")
 
 
 @lru_cache(2)
@@ -59,7 +64,18 @@ def parts(text: str, size: int = SPLIT) -> Iterator[str]:
 def encode_text(e: tiktoken.Encoding, text: str) -> list[int]:
     if len(text) <= SPLIT:
         return e.encode_ordinary(text)
-    return [i for part in parts(text) for i in e.encode_ordinary(part)]
+    ids: list[int] = []
+    at = 0
+    for run in _RUN.finditer(text):
+        # the last white-space character may belong to what follows
+        end = run.end() - (run.end() < len(text))
+        for part in parts(text[at : run.start()]):
+            ids += e.encode_ordinary(part)
+        ids += e._encode_single_piece(text[run.start() : end])
+        at = end
+    for part in parts(text[at:]):
+        ids += e.encode_ordinary(part)
+    return ids
 
 
 def _codec(path: str, pattern: str, carry: tuple[str, ...]):
