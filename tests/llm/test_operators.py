@@ -74,11 +74,38 @@ def test_words_and_hashes_equal_a_plain_split():
 def test_hashes_do_not_depend_on_chunks(monkeypatch):
     h = wordhash.Words(pa.array([prose(500, 8)])).hashes()
     w = wordhash.windows(h, 50)
-    monkeypatch.setattr(wordhash, "CHUNK", 100)
+    monkeypatch.setattr(wordhash, "CHUNK", 60)
     again = wordhash.Words(pa.array([prose(500, 8)])).hashes()
     assert (h == again).all() and (w == wordhash.windows(h, 50)).all()
 
 
+def thue(n=10):
+    """Two words of 2**n letters that a polynomial hash modulo 2**64 can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_one_pattern_have_different_hashes():
+    some = [*thue(3), *thue(10), *("x" * i + "y" + "x" * (70 - i) for i in range(70)), *("z" * n for n in range(1, 90))]
+    assert len(set(wordhash.Words(pa.array([" ".join(some)])).hashes().tolist())) == len(some)
+    h = wordhash.Words(pa.array([prose(400, 3)])).hashes()
+    for k in (1, 2, 7, 50, 64):
+        every = wordhash.windows(h, k)
+        assert len(every) == len(h) - k + 1 and all(wordhash.windows(h[i : i + k], k)[0] == every[i] for i in (0, 5, len(every) - 1))
+
+
+def test_words_of_one_pattern_do_not_link_or_repeat(spark):
+    a, b = thue()
+    rest = prose(60, 77, 4000).split()
+    rows = [(1, " ".join(w + a for w in rest)), (2, " ".join(w + b for w in rest)), (3, " ".join([a, *rest])), (4, " ".join([b, *rest]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, minhash.Params(shingle=2)).collect()}
+    assert got == brute_near(rows, 2) and got[2][1] == 2
+    assert Counter(tuple(r) for r in substring.strip_repeats(df).collect()) == brute_strip(rows)
+
+
 def test_components_of_paths_stars_and_rings(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(60)] + [(300, 301), (301, 300), (300, 300)] + [(rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(40)]
@@ -267,6 +294,28 @@ def test_long_texts_are_cut_where_it_is_safe():
         assert "".join(bpe.parts(t, 500)) == t
 
 
+def test_runs_of_millions_of_characters(spark):
+    """Each is one match of the pattern, but for the white-space character before a word."""
+    e = bpe.encoding(RANKS, PATTERN)
+    piece = lambda x: e._encode_single_piece(x)
+    runs = {1: " " * 3_000_000, 2: "\n" * 3_000_000, 3: "a" * 3_000_000, 4: "中" * 1_000_000, 5: "one" + "\u3000" * 1_200_000 + " two", 6: " \n" * 1_500_000 + "'s"}
+    want = {i: piece(runs[i]) for i in (1, 2, 3, 4)}
+    want[5] = [*e.encode_ordinary("one"), *piece("\u3000" * 1_200_000), *e.encode_ordinary(" two")]
+    want[6] = [*piece(runs[6][:-3]), *e.encode_ordinary("\n's")]
+    rows = bpe.round_trip(spark.createDataFrame(list(runs.items()), "doc_id long, text string"), RANKS, PATTERN).collect()
+    assert len(rows) == 6 and all(r.ids == want[r.doc_id] and bytes(r.decoded) == runs[r.doc_id].encode() for r in rows)
+
+
+def test_long_white_space_encodes_as_the_library_does(monkeypatch):
+    e = bpe.encoding(RANKS, PATTERN)
+    monkeypatch.setattr(bpe, "SPLIT", 100)
+    rng = random.Random(1)
+    for _ in range(40):
+        run = lambda: "".join(rng.choice(" \n\t\x0b\r\x85\xa0\u2003\u3000\x1c") for _ in range(rng.choice([1, 3, 5000, 9000])))
+        t = "".join(run() + rng.choice(["", "word", "'s", "12", "!!", "é 中"]) for _ in range(rng.randrange(1, 6)))
+        assert bpe.encode_text(e, t) == e.encode_ordinary(t)
+
+
 def labelled(spark):
     rng = random.Random(2)
     rows, told = [], []

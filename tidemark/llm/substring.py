@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialise
-from .wordhash import POWERS, Words, grams, long, mix, pieces, windows
+from .wordhash import MULT, Words, grams, long, mix, pieces, windows
 
 #: Windows of a super-k-mer at most; longer runs are parted.
 LONGEST = 1024
@@ -82,7 +82,7 @@ def _cut(h: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
     inner = (np.arange(len(start)) - np.repeat(first, n)) % LONGEST
     first = np.flatnonzero(inner == 0)
     n = np.diff(np.concatenate([first, [len(start)]]))
-    words = windows(h, p.window)[start] * POWERS[inner]
+    words = mix(windows(h, p.window)[start] + inner.astype(np.uint64) * MULT[30])
     content = mix(np.add.reduceat(words, first) + n.astype(np.uint64))
     return row[first], start[first] - at[row[first]], n, m[first], content
 

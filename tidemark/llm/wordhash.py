@@ -1,13 +1,15 @@
 """Vectorised words and hashes over Arrow string columns.
 
-A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. Hashes are sums
-of a random 64-bit value per byte times a power of an odd base, modulo 2**64,
-followed by a mixing step, so that all words of a chunk come from one running
-sum. Memory follows the chunk, not the text: chunks end between words.
+A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. Its hash takes
+eight bytes at a time into a 64-bit state that is mixed, not linearly, after each;
+the rare words of more than ``LANES`` such steps go through BLAKE2b. Hashes of runs of
+words are built from these by doubling, mixed at each step. Memory follows the
+chunk of words, not the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,29 +18,20 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one pass of a kernel holds, unless one document has more.
 PIECE = 4 << 20
-#: Bytes hashed at once, unless one word has more.
-CHUNK = 1 << 18
+#: Words hashed at once.
+CHUNK = 1 << 16
+#: Steps of eight bytes of a word that are hashed column by column.
+LANES = 8
 
 _SEED = np.random.Generator(np.random.PCG64(20240607))
-_BYTES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Odd multipliers that combine neighbouring hashes.
 MULT = _SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_INVERSE = pow(_BASE, -1, 2**64)
-POWERS, _INV = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+#: The bytes of a lane that n bytes fill.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,20 +96,24 @@ class Words:
         return np.diff(self.at)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        table = _LOWER if lower else _BYTES
+        data = np.zeros(len(self.data) + 8, np.uint8)  # the last lane reads past the end
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        lanes = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))
         out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):
-            low = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, low + CHUNK, "right")))
-            size = int(self.ends[j - 1] - low)
-            power, inverse = (POWERS, _INV) if size <= CHUNK else (_powers(_BASE, size + 1), _powers(_INVERSE, size + 1))
-            total = np.zeros(size + 1, np.uint64)
-            np.cumsum(table[self.data[low : low + size]] * power[:size], out=total[1:])
-            s, e = self.starts[i:j] - low, self.ends[i:j] - low
-            out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-            i = j
-        return mix(out)
+        for i in range(0, len(out), CHUNK):
+            at, size = self.starts[i : i + CHUNK], self.ends[i : i + CHUNK] - self.starts[i : i + CHUNK]
+            h = mix((lanes[at] & _FILLED[np.minimum(size, 8)]) * MULT[50] + size.astype(np.uint64) * MULT[51])
+            some = np.flatnonzero(size > 8)
+            for k in range(8, 8 * LANES, 8):
+                some = some[size[some] > k]
+                if not len(some):
+                    break
+                lane = lanes[at[some] + k] & _FILLED[np.minimum(size[some] - k, 8)]
+                h[some] = mix((h[some] ^ lane) * MULT[52] + MULT[53])
+            for j in np.flatnonzero(size > 8 * LANES):
+                h[j] = int.from_bytes(hashlib.blake2b(data[at[j] : at[j] + size[j]].tobytes(), digest_size=8).digest(), "little")
+            out[i : i + CHUNK] = h
+        return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -130,19 +127,36 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def _pair(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """One hash of each two, mixed between them."""
+    out = a * MULT[54 + 2 * (turn % 4)]
+    out ^= out >> np.uint64(29)
+    out += b
+    out *= MULT[55 + 2 * (turn % 4)]
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """As ``grams`` for a large k, by a running sum; blocks bound the powers."""
+    """As ``grams`` for a large k: runs of 1, 2, 4, ... words are joined to runs of k."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
-    step = CHUNK - k
+    step = CHUNK
     for i in range(0, n, step):
-        part = h[i : i + step + k - 1]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * POWERS[: len(part)], out=total[1:])
         m = min(step, n - i)
-        out[i : i + m] = (total[k : k + m] - total[:m]) * _INV[:m]
+        part = h[i : i + m + k - 1]
+        whole, done, size, turn = None, 0, 1, 0
+        while True:
+            if k & size:
+                own = part[done : done + m] if whole is None else _pair(whole, part[done : done + m], turn + 1)
+                whole, done = own, done + size
+            if size * 2 > k:
+                break
+            part = _pair(part[:-size], part[size:], turn)
+            size, turn = size * 2, turn + 1
+        out[i : i + m] = whole
     return mix(out)
 
 
