@@ -108,7 +108,7 @@ def test_words_of_one_pattern_do_not_link_or_repeat(spark):
 
 def test_components_of_paths_stars_and_rings(spark):
     rng = random.Random(4)
-    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(60)] + [(300, 301), (301, 300), (300, 300)] + [(rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(40)]
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(60)] + [(5000, 4000 + i) for i in range(300)] + [(5000 + i, 5000) for i in range(200)] + [(300, 301), (301, 300), (300, 300)] + [(rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(40)]
     rng.shuffle(pairs)
     df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(df, "a", "b").collect()}
@@ -228,6 +228,15 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert [seen[x][0] for x in rows[5:]] == [4, 4, 4] and sorted(seen[x][1] for x in rows[5:7]) == [False, True] and not seen[rows[7]][1]
 
 
+def test_pairs_of_unlike_sizes_and_large_buckets(spark):
+    """Sets inside one another: buckets hold sizes that can't be similar, and chains of those that can."""
+    words = prose(400, 90, 5000).split()
+    rows = [(i, " ".join(words[: 20 + 9 * i])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, minhash.Params(shingle=2)).collect()}
+    assert got == brute_near(rows, 2)
+
+
 def test_open_pairs_lose_nothing(spark):
     """The prefix and positional filter leaves every similar pair of different labels."""
     rng = np.random.default_rng(5)

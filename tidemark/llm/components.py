@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a pre-aggregated minimum for every node and an equi-join, so a hub
-with very many neighbours is combined before the shuffle and its join partition
-can be split. The edges of each round are a table in the shared folder; nothing
-but two numbers a round reaches the driver.
+Each step is a pre-aggregated minimum for every node and an equi-join. A hub, a
+node with over a thousandth of all rows, is no join key: there are less than a
+thousand, so their minima are broadcast and their rows stay where they are. The
+edges of each round are a table in the shared folder; nothing but two numbers a
+round reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +15,28 @@ from pyspark.sql import functions as F
 from .storage import discard, materialise
 
 
+#: Hubs at most, and the rows that a hub has at least.
+HUBS, HUB = 1000, 100
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+
+
+def _beside(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Rows (u, v), at most ``n``, with the m of their u."""
+    if n <= HUB:
+        return rows.join(least.select("u", "m"), "u")
+    hub = F.col("c") > max(HUB, n // HUBS)
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
+    return rest.union(rows.join(hubs, "u"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has an edge to another one.
 
@@ -29,10 +48,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _least(both).withColumn("m", F.least("u", "m"))
+        large = _beside(both, least, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _least(large)
+        small = _beside(large, least, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(e)
         e, old, state = after, state, _state(after)

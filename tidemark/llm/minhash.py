@@ -24,6 +24,7 @@ id and the text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,9 +178,12 @@ def _open_pairs(open_: DataFrame, p: Params) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1
     front = ranked.join(heads, "cid").select("item", "cid", "label", "n", spot.alias("spot")).where(F.col("spot") <= first)
     front = materialise(front, "front")
-    x, y = front.toDF("item", "a", "la", "na", "ia"), front.toDF("item", "b", "lb", "nb", "ib")
-    can = f"a < b AND la <> lb AND 100 * least(na, nb) >= {p.percent} * greatest(na, nb) AND {100 + p.percent} * (1 + least(na - ia, nb - ib)) >= {p.percent} * (na + nb)"
-    return x.join(y, "item").where(can).select("a", "b").distinct()
+    # sizes of similar sets lie in one class or two neighbouring ones, so an item's sets meet only these
+    size = F.floor(F.log("n") / math.log(100.1 / p.percent)).cast("int")
+    x = front.select("item", F.explode(F.array(size, size + 1)).alias("size"), *[F.col(c).alias(n) for c, n in zip(("cid", "label", "n", "spot"), ("a", "la", "na", "ia"), strict=True)])
+    y = front.select("item", size.alias("size"), *[F.col(c).alias(n) for c, n in zip(("cid", "label", "n", "spot"), ("b", "lb", "nb", "ib"), strict=True)])
+    can = f"(na < nb OR (na = nb AND a < b)) AND la <> lb AND 100 * na >= {p.percent} * nb AND {100 + p.percent} * (1 + least(na - ia, nb - ib)) >= {p.percent} * (na + nb)"
+    return x.join(y, ["item", "size"]).where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -198,15 +202,18 @@ def judged_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
     # a class is named by its first text, as an id may have several
     classes = materialise(classes.withColumn("cid", F.xxhash64("first.doc_id", "first.copy")), "classes")
 
-    rows = classes.select("cid", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub < far")
+    rows = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("far")).where("hub.cid < far")
     # written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
     shared = materialise(shared.select("key", "hub"), "shared")
-    rows = materialise(rows.join(shared, "key").distinct(), "buckets")
-    pairs = materialise(rows.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    rows = materialise(rows.join(shared, "key"), "buckets")
+    discard(shared)
+    # a pair whose sizes already tell that it is no pair needs no sets
+    alike = f"cid <> hub.cid AND 100 * least(n, hub.n) >= {p.percent} * greatest(n, hub.n)"
+    pairs = materialise(rows.where(alike).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     # texts only of classes that share a bucket with another
     named = rows.select("cid").distinct()
-    sets = materialise(text.select(F.xxhash64("doc_id", "copy").alias("cid"), "text").join(named, "cid", "left_semi").dropDuplicates(["cid"]).mapInArrow(_sets(p), "cid long, items binary"), "sets") if pairs.head(1) else None
+    sets = materialise(text.select(F.xxhash64("doc_id", "copy").alias("cid"), "text").join(named, "cid", "left_semi").dropDuplicates(["cid"]).mapInArrow(_sets(p), "cid long, items binary"), "sets") if rows.head(1) else None
     label = None
     if sets is not None:
         links = materialise(_verified(pairs, sets, p), "links")

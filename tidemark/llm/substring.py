@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .storage import discard, materialise
 from .wordhash import MULT, Words, grams, long, mix, pieces, windows
 
+#: Parts into which the contents of one minimiser are dealt to look up whether it is hot.
+LANES = 64
 #: Windows of a super-k-mer at most; longer runs are parted.
 LONGEST = 1024
 
@@ -214,7 +216,10 @@ def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     first = materialise(first.select("least", "content", "f.*"), "contents")
     # the number of contents of a minimiser; only large ones travel on
     large = first.groupBy("least").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > p.hot).select(F.col("least").alias("big"))
-    spots = first.join(large, F.col("least") == F.col("big"), "left").select("doc_id", "copy", F.struct("least", "content", "start", "n", F.col("big").isNotNull().alias("hot")).alias("s"))
+    # ``large`` has a row for every ``hot`` contents at least, so its copies for all lanes are few, and no minimiser is one join key
+    large = large.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
+    lane = F.pmod("content", F.lit(LANES).cast("long"))
+    spots = first.join(large, (F.col("least") == F.col("big")) & (lane == F.col("lane")), "left").select("doc_id", "copy", F.struct("least", "content", "start", "n", F.col("big").isNotNull().alias("hot")).alias("s"))
     spots = spots.groupBy("doc_id", "copy").agg(F.collect_list("s").alias("spots"))
     packed = some.join(spots, ["doc_id", "copy"]).select("doc_id", "text", "spots").mapInArrow(_pack(p), "least long, content long, low long, packed binary, hot boolean")
     packed = materialise(packed, "packed")
