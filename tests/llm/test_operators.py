@@ -428,7 +428,7 @@ def vectors(spark, n=900, dim=16):
 def test_neighbours_and_recall(spark):
     df, x = vectors(spark)
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, params=ann.Params(pivots=32, near=16, block=256, least=48, queries=7)).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, params=ann.Params(pivots=32, near=16, file=100, least=24)).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert set(got) == set(range(0, 900, 50))
     hit = 0
@@ -449,7 +449,7 @@ def test_neighbours_and_recall(spark):
 def test_repeated_vectors_count_once(spark):
     """Each row twice, the nearest one nine times, an id with a vector and its double: as without the repeats."""
     df = vectors(spark)[0].where("vec_id < 60")
-    p = ann.Params(pivots=16, near=8, block=4096, least=4096)
+    p = ann.Params(pivots=16, near=8, share=1, probe=1)
     rows = lambda d: sorted(ann.nearest(d.coalesce(1), F.col("vec_id") % 20 == 0, params=p).collect())  # noqa: E731, one block
     want = rows(df)
     assert [r["rank"] for r in want] == [1, 2, 3, 4, 5] * 3
@@ -465,7 +465,7 @@ def test_repeated_vectors_count_once(spark):
 def test_every_length_is_searched(spark):
     """Two lengths, the rarer one too, and an id that has both: each among its own length."""
     df = vectors(spark)[0].where("vec_id < 60")
-    p = ann.Params(pivots=16, near=8, block=4096, least=4096)
+    p = ann.Params(pivots=16, near=8, share=1, probe=1)
     rows = lambda d: {tuple(r) for r in ann.nearest(d, F.col("vec_id") % 20 == 0, params=p).collect()}
     short = df.where("vec_id < 50").select((F.col("vec_id") + 1000).alias("vec_id"), F.slice("embedding", 1, 4).alias("embedding"))
     assert len(rows(short)) == 15
@@ -475,6 +475,40 @@ def test_every_length_is_searched(spark):
     assert sorted(r[1:] for r in rows(df.union(both)) if r[0] == 0) == [(i + 1, *r[2:]) for i, r in enumerate(best)]
 
 
+def test_few_distances_find_nearly_all():
+    """Gaussian vectors, the hardest case: at least 0.95 of the true five with a quarter of the distances of exact search."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40000, 64))
+    p = ann.Params()
+    pivots = ann._unit(x[rng.choice(len(x), p.pivots, replace=False)])
+    order = ann.orders(x, pivots, p.near)
+    files = {}
+    for pivot in range(p.pivots):
+        rows = np.flatnonzero((order[:, : p.post] == pivot).any(axis=1))
+        files[pivot] = ann.File(pivot, p.pivots, rows, x[rows], order[rows], p)
+    hit, asked = 0, range(0, len(x), 800)
+    for q in asked:
+        found = [r for pivot in order[q][: ann.probes(p, p.pivots)].tolist() for r in zip(*files[pivot].nearest(q, x[q], order[q], 5), strict=True)]
+        assert len({i for i, _ in found}) == len(found)  # each met once
+        score = (x @ x[q]) / np.sqrt((x * x).sum(1))
+        score[q] = -np.inf
+        hit += len({i for i, _ in sorted(found, key=lambda r: -r[1])[:5]} & set(np.argsort(-score)[:5].tolist()))
+    assert hit >= 0.95 * 5 * len(asked)
+    assert sum(f.scored for f in files.values()) + p.pivots * len(asked) <= 0.25 * len(x) * len(asked)
+
+
+def test_exact_search_is_an_option(spark):
+    df, x = vectors(spark, 400)
+    got = {}
+    clashing = df.withColumns({"score": F.lit(7), "rank": F.lit("r"), "query_id": F.lit(1), "pivot": F.lit(2), "asked": F.lit("x")})
+    for r in ann.nearest(clashing, F.col("vec_id") % 20 == 0, params=ann.Params(pivots=16, file=30, share=1, probe=1)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 400, 20):
+        score = (x * x[q]).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((x[q] ** 2).sum()))
+        score[q] = -2
+        assert [i for _, i in sorted(got[q])] == np.lexsort((np.arange(len(x)), -score))[:5].tolist()
+
+
 def test_mix_meets_its_targets(spark, docs, empty):
     rng = random.Random(8)
     sizes = {"a": 400, "b": 300, None: 500, "c": 3, "d": 200}
