@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, components, langid, minhash, mixing, quality, rules, substring, tokenfile, url_sql, urls, wordhash
+from tidemark.llm import ann, bpe, components, langid, minhash, mixing, quality, rules, sampling, substring, tokenfile, url_sql, urls, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id long, key string, size long"
 RANKS, PATTERN, MODEL = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -280,7 +280,10 @@ def test_urls_follow_links_and_let_allow_win(spark):
 def test_canonical_among_other_link_types(spark):
     links = ('<link rel="canonical nofollow" href="http://b.com/en/1">', "<link rel='me\nCanonical' href='http://b.com/en/1'>", '<link rel="not-canonical" href="http://b.com/en/1">', '<link rel="canonicals nofollow" href="http://b.com/en/1">')
     pages = spark.createDataFrame([(i, f"http://a{i}.com/x", tag) for i, tag in enumerate(links)], "page_id long, url string, html string")
-    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, RULES).collect()) == [(0, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+    want = [(0, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, RULES).collect()) == want
+    duckdb.register("pages", pages.toPandas())
+    assert sorted((r[0], r[4]) for r in duckdb.sql(url_sql.sql(RULES)).fetchall()) == want
 
 
 def test_bpe_equals_the_library(docs, empty):
@@ -360,14 +363,69 @@ def test_each_round_hands_over_new_rows(monkeypatch):
     assert [n for d, n in sizes if d == 3] == [80, 140, 200, 260]
 
 
+def two_views(n, rng):
+    """Metadata tells the classes of all rows apart; text does so by one feature in rows of kind 0, by another in those of kind 1."""
+    y = (np.arange(n) % 2).astype(float)
+    kind = np.arange(n) // 2 % 2
+    t, m = rng.normal(size=(n, 4)), rng.normal(size=(n, 3))
+    side = 2 * y - 1
+    t[:, 0] += 6 * side * (kind == 0)
+    t[:, 1] += 6 * side * (kind == 1)
+    m[:, 0] += 6 * side
+    return t, m, y, kind
+
+
 def test_views_teach_each_other():
-    """Labels for a fifth only in one view's reach: the other view still learns them from its pseudo-labels."""
+    """No labelled row shows the text feature of the second kind: the text view learns it from the metadata view's labels alone."""
     rng = np.random.default_rng(1)
-    y = (rng.random(300) > 0.5).astype(float)
-    t, m = rng.normal(size=(300, 3)) + y[:, None] * 4, rng.normal(size=(300, 2)) + y[:, None] * 4
-    model = quality.fit(t[:60], m[:60], y[:60], t[60:], m[60:], quality.Params(handed=40))
-    a, b, both = model.score(t, m)
-    assert ((both > 0.5) == y).mean() > 0.97
+    t, m, y, kind = two_views(1200, rng)
+    told = np.flatnonzero(kind == 0)[:200]
+    rest = np.setdiff1d(np.arange(len(y)), told)
+    held = rest[kind[rest] == 1][-150:]
+    pool = np.setdiff1d(rest, held)
+    right = {}
+    for rounds in (0, 3):
+        model = quality.fit(t[told], m[told], y[told], t[pool], m[pool], quality.Params(handed=60, rounds=rounds, sure=0.9))
+        text, _, both = model.score(t[held], m[held])
+        right[rounds] = ((text > 0.5) == y[held]).mean()
+        assert ((both > 0.5) == y[held]).mean() > 0.9
+    assert right[0] < 0.75 and right[3] > 0.95
+
+
+def test_scores_equal_the_plain_formula(spark):
+    """Held-out rows: each score from the views' features by hand, and the share that is right."""
+    some, told = labelled(spark)
+    held = F.col("doc_id") % 7 == 0
+    model = quality.train(some.where(~held), told.where(~held), quality.Params(labelled=200, pool=100, handed=20))
+    rows = {r.doc_id: r for r in some.where(held).collect()}
+    got = quality.score(some.where(held), model).collect()
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for r in got:
+        own = rows[r.doc_id]
+        batch = pa.RecordBatch.from_pydict({"source": [own.source], "lang": [own.lang], "n_chars": [own.n_chars]})
+        t, m = quality.text_view(pa.array([own.text]))[0], quality.meta_view(batch)[0]
+        odds = []
+        for x, w, scale in ((t, model.text, model.scale[0]), (m, model.meta, model.scale[1])):
+            odds.append(np.clip((float(x @ w[:-1]) + w[-1]) * scale[0] + scale[1], -12, 12))
+        want = sig(odds[0] * model.both[0] + odds[1] * model.both[1] + model.both[2])
+        assert abs(r.text_score - sig(odds[0])) < 1e-5 and abs(r.meta_score - sig(odds[1])) < 1e-5 and abs(r.score - want) < 1e-5 and r.kept == (r.score >= 0.3)
+    assert sum(r.kept == (r.doc_id % 4 > 0) for r in got) >= 0.95 * len(got)
+
+
+def test_samples_of_repeated_ids_are_bounded(spark):
+    """Ids repeated very often count once, and a table of one id still gives it."""
+    df = spark.range(3000).selectExpr("id AS doc_id").union(spark.range(2000).selectExpr("7L AS doc_id"))
+    got = [r.doc_id for r in sampling.ids(df, 50).collect()]
+    assert len(got) == len(set(got)) == 50 and sampling.ids(df.where("doc_id = 7"), 50).count() == 1 and sampling.ids(df.limit(0), 5).count() == 0
+    again = [r.doc_id for r in sampling.ids(df.repartition(5), 50).collect()]
+    assert sorted(got) == sorted(again)
+    some, told = labelled(spark)
+    many = some.union(some.where("doc_id IN (1, 2)").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("n"))
+    one, two = (quality.train(d, told, quality.Params(labelled=100, pool=50)) for d in (some, many))
+    assert np.allclose(one.text, two.text) and np.allclose(one.both, two.both)
+    df = spark.createDataFrame([(i, "abc " * 30 if i % 2 else "xyz " * 30, "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    one, two = (langid.train(d, F.lit(True), langid.Params(docs=10, epochs=1)) for d in (df, df.union(df).union(df)))
+    assert np.allclose(one.dense, two.dense)
 
 
 def test_language_of_whole_texts(spark, docs, empty):
@@ -574,3 +632,7 @@ def test_passages_equal_brute_force(spark, docs, empty, hot):
     assert carried.count() == docs.count() and carried.columns[:3] == ["doc_id", "source", "size"]
     assert all(r.kept == (r.text or "") for r in carried.join(docs.select("doc_id", "text"), "doc_id").where("n_removed = 0").collect() if r.doc_id not in (22, 25))
     assert substring.strip_repeats(empty, p).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "size AS copy", "key AS spans", "kept AS least", "size AS content")
+    assert substring.strip_repeats(clashing, p, carry=("copy", "spans", "least", "content")).columns == ["doc_id", "copy", "spans", "least", "content", "n_words", "n_removed", "kept"]
+    with pytest.raises(ValueError):
+        substring.strip_repeats(docs, p, carry=("kept",))

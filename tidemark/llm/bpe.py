@@ -94,6 +94,8 @@ def _codec(path: str, pattern: str, carry: tuple[str, ...]):
 
 def round_trip(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns, ids (array of int) and decoded (the ids' raw bytes) of each row's text."""
+    if taken := {"ids", "decoded"} & set(carry):
+        raise ValueError(f"these columns are given anyway: {', '.join(sorted(taken))}")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(_codec(path, pattern, carry), f"{kinds}, ids array<int>, decoded binary")
 

@@ -6,10 +6,10 @@ their maxima over its places are the features, and a softmax layer gives the
 languages. A text's score for a language is the mean over all its windows,
 weighted by their bytes.
 
-Training takes at most ``docs`` labelled documents a language, those of the
-smallest hashes of doc_id, and of each at most ``windows`` evenly spread windows
-of its first 65,536 characters: this bounds the model only. Predictions read
-whole texts and nothing but the text. On the executors the embedding and each
+Training takes at most ``docs`` labelled ids a language, those of the smallest
+hashes of doc_id, one text of each, and of that at most ``windows`` windows evenly
+spread over all of it: this bounds the model only. Languages are few: the model
+has an output for each. Predictions read whole texts and nothing but the text. On the executors the embedding and each
 filter tap are multiplied out to a table of 256 rows, so a convolution is a sum of
 table rows.
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sampling
 from .wordhash import pieces, raw
 
 
@@ -214,12 +215,18 @@ def train(docs: DataFrame, usable: Column, params: Params = Params()) -> Model |
     """A model from rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds; None without any."""
     p = params
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # ids only; each task keeps its own first few of a language before they meet
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("turn", first).where(F.col("turn") <= p.docs).select("doc_id").distinct()
-    texts = labelled.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    # at most ``windows`` windows of each
-    rows = sorted(texts.mapInArrow(_windows(p), "doc_id long, lang string, windows binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.windows)))
+    # a row for each language; of each, about twice as many ids as are wanted meet to be ordered
+    known = F.broadcast(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("known")))
+    h = F.xxhash64("doc_id")
+    some = labelled.select("doc_id", "lang").where("doc_id IS NOT NULL").join(known, "lang").where(sampling.low(h, p.docs, F.col("known"))).select("doc_id", "lang").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
+    ids = some.withColumn("turn", first).where(F.col("turn") <= p.docs).select("doc_id", "lang")
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    # at most ``windows`` windows of each text
+    cut_ = texts.mapInArrow(_windows(p), "doc_id long, lang string, windows binary")
+    # a row for each id, however often it is there
+    one = cut_.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("windows").alias("h"), "windows"))["windows"].alias("windows"))
+    rows = sorted(one.collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.windows)))
     return learn([np.frombuffer(r.windows, np.uint8).reshape(-1, p.length) for r in rows], [r.lang for r in rows], p) if rows else None
 
 

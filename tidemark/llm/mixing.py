@@ -91,12 +91,12 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[int] = WEIGHTS) -> Dat
     # a row for each range, of which there are as many as partitions
     ranges = dealt.where("finish IS NOT NULL").groupBy("range").agg(F.sum("size").alias("n"))
     ranges = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    budget = src.agg(F.sum("target")).first()[0] or 0.0
+    # the targets' sum as an exact number of hundredths of words: no source's cap keeps all of them from taking the share
+    budget = min(SHARE, 100 * REPEATS) * (items.agg(F.sum("size")).first()[0] or 0)
     within = Window.partitionBy("range").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("before") + F.sum(F.when(F.col("finish").isNotNull(), F.col("size"))).over(within)
     out = dealt.join(F.broadcast(ranges), "range", "left").withColumn("total", total)
-    # sums of targets carry rounding errors
-    return out.select("uid", "doc_id", "source", "copy_key", "size", "source_size", "target", "copy", "finish", F.coalesce(F.col("finish").isNotNull() & (F.col("total") <= budget + 1e-6), F.lit(False)).alias("taken"))
+    return out.select("uid", "doc_id", "source", "copy_key", "size", "source_size", "target", "copy", "finish", F.coalesce(F.col("finish").isNotNull() & (F.col("total") * 100 <= F.lit(budget)), F.lit(False)).alias("taken"))
 
 
 def taken(mixed: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ hands them to the other view. In the end both views are calibrated on labelled
 rows kept apart (Platt scaling), their log odds are combined by a third logistic
 regression, and all documents are scored.
 
-Fitting uses at most ``labelled`` labelled rows and a pool of at most ``pool``
-others, those of the smallest hashes of doc_id: this bounds the model only.
+Fitting uses at most ``labelled`` labelled ids and a pool of at most ``pool``
+others, those of the smallest hashes of doc_id: this bounds the model only. Of an
+id with several texts one is learned from, and of several labels the largest.
 
 Cases: a null text counts as empty, null metadata is a value of its own. Without
 labelled rows of both classes every document scores 1 and stays. Repeated rows
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sampling
 from .wordhash import Words, pieces, raw
 
 
@@ -167,20 +169,22 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
     """A model from labels (doc_id, quality) and documents."""
     p = params
     spark = docs.sparkSession
-    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled)
-    known = [(r.doc_id, r.quality) for r in known.collect()]
-    others = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(p.pool)
-    others = [r.doc_id for r in others.collect()]
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
+    # at most ``labelled`` ids, and ``pool`` ones
+    known = labels.join(F.broadcast(sampling.ids(labels, p.labelled)), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = sorted((r.doc_id, r.quality) for r in known.collect())
+    others = sorted(r.doc_id for r in sampling.ids(docs, p.pool, seed=1).collect())
     pool = spark.createDataFrame([(i,) for i in others], "doc_id long")
-    told = {r.doc_id for r in labels.select("doc_id").join(F.broadcast(pool), "doc_id", "left_semi").collect()}
+    told = {r.doc_id for r in labels.select("doc_id").join(F.broadcast(pool), "doc_id", "left_semi").distinct().collect()}
     use = dict(known)
     rows = [(i, float(q > 0)) for i, q in known] + [(i, None) for i in dict.fromkeys(others) if i not in told and i not in use]
     if not rows:
         return None
     # at most labelled + pool ids
     ids = F.broadcast(spark.createDataFrame(rows, "doc_id long, label double"))
-    sample = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(ids, "doc_id").mapInArrow(_features, "doc_id long, label double, t binary, m binary").collect()
+    sample = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(ids, "doc_id").mapInArrow(_features, "doc_id long, label double, t binary, m binary")
+    # a row for each id, however often it is there
+    sample = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("t", "m").alias("h"), "t", "m")).alias("f")).select("doc_id", "label", "f.t", "f.m").collect()
     sample = sorted({(r.doc_id, r.label, bytes(r.t), bytes(r.m)) for r in sample}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2], r[3]))
     t = np.array([np.frombuffer(r[2], np.float32) for r in sample]).reshape(len(sample), 256 + _WORDS + 6)
     m = np.array([np.frombuffer(r[3], np.float32) for r in sample]).reshape(len(sample), sum(_META))

@@ -270,8 +270,12 @@ def strip_repeats(docs: DataFrame, params: Params = Params(), give: str = "words
 
     ``give="text"`` leaves texts that lose nothing as they are; ``give="digest"`` gives the SHA-256 of the words left.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"), *carry)
+    if taken := {"doc_id", "n_words", "n_removed", "kept"} & set(carry):
+        raise ValueError(f"these columns are given anyway: {', '.join(sorted(taken))}")
+    # under names of their own, so that no carried column clashes with the columns made here
+    own = [f"carried{i}" for i in range(len(carry))]
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"), *[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)])
     spans = repeated_spans(text.select("doc_id", "copy", "text"), params)
-    joined = text.join(spans, ["doc_id", "copy"], "left").drop("copy").select("doc_id", *carry, "text", "spans")
-    kinds = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    return joined.mapInArrow(_strip(params, give), f"{kinds}, n_words long, n_removed long, kept string")
+    joined = text.join(spans, ["doc_id", "copy"], "left").select("doc_id", *own, "text", "spans")
+    kinds = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in ("doc_id", *own))
+    return joined.mapInArrow(_strip(params, give), f"{kinds}, n_words long, n_removed long, kept string").toDF("doc_id", *carry, "n_words", "n_removed", "kept")

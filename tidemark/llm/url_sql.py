@@ -40,7 +40,7 @@ tags AS (
   SELECT url, tag, regexp_extract(url, '^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|http-equiv'))),
 wanted AS (
-  SELECT *, CASE WHEN regexp_matches(tag, '(?i)^<link') AND lower({_attribute("rel")}) = 'canonical' THEN {_attribute("href")}
+  SELECT *, CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower({_attribute("rel")}), '[ \t\n\f\r]+'), 'canonical') THEN {_attribute("href")}
     WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_attribute("http-equiv")}) = 'refresh' THEN trim(regexp_extract({_attribute("content")}, '(?i)url\s*=\s*(.*)$', 1)) END AS t FROM tags),
 targets AS (
   SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN root || t
