@@ -1,18 +1,21 @@
 """The pipeline's stages over planted documents, and without the subpackage."""
 
+import hashlib
 import random
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 
 from tidemark.llm import bpe  # noqa: E402
 
-from .test_operators import PATTERN, RANKS, prose  # noqa: E402
+from .test_operators import PATTERN, RANKS, brute_near, brute_strip, prose  # noqa: E402
 
 TOP = Path(__file__).resolve().parents[2]
 
@@ -70,9 +73,64 @@ def test_own_text_of_a_repeated_id_stays(spark, folder):
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()) == [(1, a), (2, b)]
 
 
-def test_run_equals_the_stages(spark, folder):
+def brute(rows):
+    """(doc_id, source, ids) that the stages after the classifier give for (doc_id, text, source), in plain Python."""
+    near = brute_near([(i, t) for i, t, _ in rows], 5)
+    rows = [r for r in {r[:2]: r for r in rows}.values() if near[r[0]][2]]
+    left = {(i, n): (gone, kept) for i, n, gone, kept in brute_strip([(i, t) for i, t, _ in rows])}
+    stripped = []
+    for i, t, s in rows:
+        n = len((t or "").encode().split())
+        gone, kept = left[i, n]
+        if not n or gone < n:
+            stripped.append((i, kept if gone else t or "", s))
+    size = lambda t: len(t.encode().split())
+    sources = sorted({s for _, _, s in stripped})
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total = {s: sum(size(t) for _, t, o in stripped if o == s) for s in sources}
+    target, budget, open_ = {}, 1.5 * sum(total.values()), set(sources)
+    while open_:
+        level = budget / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * total[s]}
+        target |= {s: 2.0 * total[s] if full else weight[s] * level for s in full or open_}
+        budget -= sum(2 * total[s] for s in full)
+        open_ = open_ - full if full else set()
+    line = []
+    for s in sources:
+        upto = 0
+        for key, i, t in sorted((hashlib.md5(f"{i}|0".encode()).hexdigest(), i, t) for i, t, o in stripped if o == s):
+            upto += size(t)
+            if size(t):
+                line += [((upto + c * total[s]) / target[s], key, i, c, t, s) for c in (0, 1)]
+    e, taken, out = bpe.encoding(RANKS, PATTERN), 0, []
+    for _, _, i, _, t, s in sorted(line):
+        taken += size(t)
+        if 2 * taken > 3 * sum(total.values()):
+            break
+        out.append((i, s, tuple(e.encode_ordinary(t))))
+    return Counter(out)
+
+
+def test_run_equals_brute_force(spark, folder):
+    """The rows of run() as a multiset; the classifier's own choice is the input of the brute force."""
+    good = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    want = brute([(r.doc_id, r.text, r.source) for r in good])
     rows = corpus_pipeline.run(spark, folder).collect()
-    assert rows and {len(r.ids) == r.n_tokens for r in rows} == {True}
+    assert Counter((r.doc_id, r.source, tuple(r.ids)) for r in rows) == want and sum(want.values()) > 200
+    assert all(r.decodes and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_stages_with_clashing_columns_repeated_rows_and_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    names = ("copies", "rows", "copy", "copy_key", "kept", "n_words", "n_removed", "spans", "ids", "taken", "size", "score", "carried0", "label")
+    wide = docs.union(docs).withColumns({n: F.lit("x") for n in names})
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, wide, folder)
+        assert out.columns == corpus_pipeline.COLUMNS or i == 4
+        assert out.count() == stage(spark, docs.union(docs), folder).count()
+        assert stage(spark, wide.limit(0), folder).count() == 0
+    once = corpus_pipeline.drop_near_duplicates(spark, wide, folder)
+    assert once.count() == once.select("doc_id").distinct().count() > 30
 
 
 def test_the_rest_works_without_the_subpackage(tmp_path):
