@@ -2,9 +2,9 @@
 
 Each step is a pre-aggregated minimum for every node and an equi-join. A hub, a
 node with over a thousandth of all rows, is no join key: there are less than a
-thousand, so their minima are broadcast and their rows stay where they are. The
-edges of each round are a table in the shared folder; nothing but two numbers a
-round reaches the driver.
+thousand, which are looked up in each round, and their rows are dealt to ``LANES``
+keys. The edges of each round are a table in the shared folder; nothing but two
+numbers and the hubs' names reaches the driver in a round.
 """
 
 from __future__ import annotations
@@ -17,24 +17,32 @@ from .storage import discard, materialise
 
 #: Hubs at most, and the rows that a hub has at least.
 HUBS, HUB = 1000, 100
+#: Join keys of a hub.
+LANES = 64
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+def _hubs(both: DataFrame, n: int) -> list:
+    """The nodes with most rows, at most ``HUBS``."""
+    if n <= HUB:
+        return []
+    return [r.u for r in both.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HUB, n // HUBS)).select("u").collect()]
 
 
-def _beside(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """Rows (u, v), at most ``n``, with the m of their u."""
-    if n <= HUB:
-        return rows.join(least.select("u", "m"), "u")
-    hub = F.col("c") > max(HUB, n // HUBS)
-    hubs = F.broadcast(least.where(hub).select("u", "m"))
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
-    return rest.union(rows.join(hubs, "u"))
+def _beside(rows: DataFrame, hubs: list, own: bool) -> DataFrame:
+    """Rows (u, v) with m, the least v of their u; with ``own``, u itself if that is less."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"))
+    if own:
+        least = least.withColumn("m", F.least("u", "m"))
+    if not hubs:
+        return rows.join(least, "u")
+    hub = F.col("u").isin(hubs)
+    rows = rows.withColumn("lane", F.when(hub, F.pmod(F.xxhash64("v"), F.lit(LANES))).otherwise(0).cast("int"))
+    lanes = F.when(hub, F.sequence(F.lit(0), F.lit(LANES - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(least.select("u", "m", F.explode(lanes).alias("lane")), ["u", "lane"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,10 +56,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).withColumn("m", F.least("u", "m"))
-        large = _beside(both, least, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = _least(large)
-        small = _beside(large, least, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # the rows of a node in the second step are fewer than in the first, so its hubs are among these
+        hubs = _hubs(both, 2 * state[0])
+        large = _beside(both, hubs, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _beside(large, hubs, False).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         after = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(e)
         e, old, state = after, state, _state(after)
