@@ -126,3 +126,12 @@ def test_which_types_are_known():
     good = ["address", "bool", "string", "bytes", "bytes32", "uint", "uint256", "uint9", "int8", "uint8[]", "string[2][]"]
     assert all(decode.known(Param("x", t)) for t in good)
     assert not any(decode.known(Param("x", t)) for t in ["bytes33", "uint300", "uint7", "fixed", "tuple2", "function"])
+
+
+def test_the_last_input_of_a_repeated_name_counts(spark):
+    from tidemark.operators.decode import event_params
+
+    abi = Abi("Twice", "event", (Param("x", "uint256"), Param("y", "uint256"), Param("x", "uint256")))
+    data = "".join(f"{n:064x}" for n in (1, 2, 3))
+    got = spark.createDataFrame([(["0x" + abi.signature], data)], "topics array<string>, data string").select(event_params(abi, F.col("topics"), F.col("data")).alias("p")).first().p
+    assert got == {"x": "3", "y": "2"}

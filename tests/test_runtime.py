@@ -84,7 +84,7 @@ def test_lookups_and_criteria(spark, node, tmp_path):
 def test_client_pages_and_waits(node):
     own = C.FileClient(str(node), 20)
     assert own.block("best")["number"] == 30 and own.block("finalized")["number"] == 20
-    assert len(C.drain(own, "event", 0, 30, limit=4)) == sum(n % 3 for n in range(31))
+    assert len(list(C.drain(own, "event", 0, 30, limit=4))) == sum(n % 3 for n in range(31))
     naps = []
     with pytest.raises(InterruptedError):
         C.wait_for(own, 99, stopped=lambda: len(naps) == 2, sleep=naps.append)
@@ -165,3 +165,190 @@ def test_retry_backs_off():
         assert base <= nap <= 2 * base
     with pytest.raises(R.Reorganised):
         R.retry(lambda: (_ for _ in ()).throw(R.Reorganised("x")), sleep=naps.append)
+
+
+class Counting(C.FileClient):
+    """A folder that notes its calls and fails at those that a test names."""
+
+    def __init__(self, folder, finalized=None):
+        super().__init__(folder, finalized)
+        self.asked, self.bad = [], []
+
+    def block(self, revision, expanded=True):
+        if self.bad:
+            raise self.bad.pop()
+        return super().block(revision, expanded)
+
+    def logs(self, kind, first, last, offset=0, limit=C.PAGE, criteria=()):
+        self.asked.append((first, last, offset, limit))
+        return super().logs(kind, first, last, offset, limit, criteria)
+
+
+def test_options_in_any_case(spark, node):
+    from tidemark.sources.chain import Options
+
+    for keys in (("startBlock", "blockBatchSize", "logFetchLimit", "maxBlocksPerTrigger", "endBlock"), ("startblock", "blockbatchsize", "logfetchlimit", "maxblockspertrigger", "endblock")):
+        o = Options.of({**dict(zip(keys, "34567", strict=True)), "Path": "x"})
+        assert (o.first, o.batch, o.page, o.most, o.last) == (3, 4, 5, 6, 7) and o.node["path"] == "x"
+    for bad in ({"mode": "x"}, {"startBlock": "-1"}, {"blockBatchSize": "0"}, {"maxBlocksPerTrigger": "0"}, {"logFetchLimit": "0"}):
+        with pytest.raises(ValueError):
+            Options.of(bad)
+    register(spark)
+    read = lambda **o: spark.read.format("chain").options(path=str(node), **o).load()
+    assert read(blockBatchSize="4").rdd.getNumPartitions() == 8 and read(blockBatchSize="4", startBlock="29").rdd.getNumPartitions() == 1
+    assert sorted(r.number for r in read(startBlock="28").collect()) == [28, 29, 30]
+
+
+def test_page_sizes_reach_the_node(node, monkeypatch):
+    from tidemark.sources import chain as S
+
+    own = Counting(str(node))
+    monkeypatch.setattr(S, "client", lambda _: own)
+    o = S.Options.of({"mode": "events", "logFetchLimit": "4", "blockBatchSize": "10"})
+    assert [(p.first, p.last) for p in o.parts(0, 30)] == [(0, 9), (10, 19), (20, 29), (30, 30)]
+    assert len(list(S._read(o, S.Range(0, 9)))) == 9
+    assert own.asked == [(0, 9, 0, 4), (0, 9, 4, 4), (0, 9, 8, 4)]
+
+
+def test_stream_takes_bounded_batches_and_goes_on_after_a_restart(spark, node, tmp_path):
+    register(spark)
+    got = []
+    for last in (30, 33):
+        for n in range(31, last + 1):
+            put(node, block(n))
+        rows = spark.readStream.format("chain").options(path=str(node), startBlock="10", maxBlocksPerTrigger="5", blockBatchSize="2").load()
+        query = rows.writeStream.foreachBatch(lambda df, i: got.append((sorted(r.number for r in df.collect()), df.rdd.getNumPartitions()))).option("checkpointLocation", f"file://{tmp_path}/check").start()
+        for _ in range(600):
+            if sum(len(g) for g, _ in got) >= last - 9:
+                break
+            query.awaitTermination(0.1)
+        query.stop()
+    # the batch during which the first query was stopped may come again
+    assert list(dict.fromkeys(n for g, _ in got for n in g)) == list(range(10, 34))
+    assert all(len(g) <= 5 and parts <= 3 for g, parts in got) and len(got) >= 6
+
+
+def test_stream_waits_while_the_node_has_no_newest_block(node, monkeypatch):
+    from tidemark.sources import chain as S
+
+    own, clock = Counting(str(node)), [1000.0]
+    monkeypatch.setattr(S, "client", lambda _: own)
+    r = S.ChainStream(S.Options.of({"startBlock": "28", "maxBlocksPerTrigger": "2"}), now=lambda: clock[0])
+    for bad, nap in ((R.BlockNotFound("x"), C.POLL), (R.RateLimited("x"), C.LIMITED), (OSError("x"), C.ERROR)):
+        own.bad = [bad]
+        assert r.latestOffset() == {"block": 28} and r.pause == clock[0] + nap
+        assert r.latestOffset() == {"block": 28}  # not asked again before the pause is over
+        clock[0] += nap
+    assert r.latestOffset() == {"block": 30} and r.latestOffset() == {"block": 31}
+    assert r.stamp == 300  # at the tip the window is as many blocks as the time since allows
+
+
+def test_block_reads_are_tried_again(node, monkeypatch):
+    from tidemark.sources import chain as S
+
+    own = Counting(str(node))
+    own.bad = [OSError("x"), R.RateLimited("x")]
+    monkeypatch.setattr(S, "client", lambda _: own)
+    monkeypatch.setattr(R, "nap", lambda _: None)
+    assert [x[0] for x in S._read(S.Options.of({}), S.Range(1, 2))] == [1, 2]
+    own.bad = [OSError("x")] * 9
+    with pytest.raises(OSError):
+        list(S._read(S.Options.of({"retries": "2"}), S.Range(1, 2)))
+
+
+class Failing(TableProcessor):
+    """A table that fails a few times."""
+
+    def __init__(self, *a, times=2, error=OSError):
+        super().__init__(*a)
+        self.left, self.error, self.tries = times, error, 0
+
+    def process(self, result):
+        self.tries += 1
+        if self.left:
+            self.left -= 1
+            raise self.error("the sink is away")
+        super().process(result)
+
+
+def test_a_step_that_fails_is_tried_again(spark, node, tmp_path):
+    naps = []
+    sink = Failing(spark, f"file://{tmp_path}/x", "x")
+    b = Builder("x", source(node), sink).transfers().full_block()
+    one = b._with(abis=(ABI,)).build()
+    Runner(spark, [one], f"file://{tmp_path}/check", sleep=naps.append).run(once=True)
+    assert seen(sink) == expected(30) and len(naps) == 2 and sink.tries >= 3
+    sink = Failing(spark, f"file://{tmp_path}/y", "y", times=99)
+    b = Builder("y", source(node), sink).full_block()
+    with pytest.raises(Exception, match="away"):
+        Runner(spark, [b.build()], f"file://{tmp_path}/check", attempts=2, sleep=naps.append).run(once=True)
+
+
+def test_a_query_that_dies_starts_again(spark, node, tmp_path):
+    """An error that a step doesn't try again ends the query; the runner starts it from the sink's position."""
+    sink = Failing(spark, f"file://{tmp_path}/z", "z", times=1, error=ValueError)
+    one = Builder("z", source(node), sink).transfers().full_block().build()
+    naps = []
+    Runner(spark, [one], f"file://{tmp_path}/check", sleep=naps.append).run(once=True)
+    assert sorted(r.blockNumber for r in sink.events().collect()) == list(range(31)) and naps
+
+
+def test_rollback_keeps_what_is_before_it_even_if_broken_off(spark, node, tmp_path, monkeypatch):
+    one, sink = built(spark, node, tmp_path, full=True)
+    Runner(spark, [one], f"file://{tmp_path}/check").run(once=True)
+    monkeypatch.setattr(sink, "_delete", lambda at: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        sink.rollback(11)
+    monkeypatch.undo()
+    assert set(expected(10)) <= set(seen(sink))  # nothing before the block is lost
+    sink.rollback(11)
+    assert seen(sink) == expected(10) and sink.last_synced().number == 10
+    one.initialise()
+    assert one.current == 10 and seen(sink) == expected(9)
+    for n in range(60):
+        sink.advance(sink.last_synced(), "SYNCING")
+    assert len(sink._positions()) == 1
+
+
+def test_intermediate_reorganisation_restarts_everything(spark, node, tmp_path):
+    """While one indexer catches up, the query of another meets a wrong parent."""
+    slow, sink = built(spark, node, tmp_path)
+    free, other = built(spark, node, tmp_path, "two", full=True)
+    runner = Runner(spark, [slow, free], f"file://{tmp_path}/check", blocks=50)
+    held = LogIndexer._batch
+    went = []
+
+    def batch(self, *a):
+        if not went:
+            went.append(1)
+            for _ in range(300):  # until the other one is at work
+                if free.current > 25:
+                    break
+                R.time.sleep(0.1)
+            for b in (block(29, "b28", "x"), block(30, "b29x", "x"), block(31, "b30x")):
+                put(node, b)
+            for _ in range(200):
+                if free.status is Status.INITIALISED:
+                    break
+                R.time.sleep(0.1)
+        return held(self, *a)
+
+    calls = []
+    start = runner._start
+    runner._start = lambda some, once: calls.append([i.name for i in some]) or start(some, once)
+    import threading
+
+    LogIndexer._batch = batch
+    try:
+        t = threading.Thread(target=runner.run)
+        t.start()
+        for _ in range(900):
+            if slow.current == free.current == 32:
+                break
+            R.time.sleep(0.1)
+        runner.stop()
+        t.join(60)
+    finally:
+        LogIndexer._batch = held
+    assert seen(sink) == seen(other) == expected(31)
+    assert {r.blockId for r in other.events().where(F.col("blockNumber") >= 29).collect()} == {"b29x", "b30x", "b31"}

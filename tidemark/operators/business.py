@@ -149,7 +149,8 @@ def _rules(d: Definition) -> Column:
 def _result(rows: DataFrame, d: Definition) -> DataFrame:
     """One business event a row of alias columns e0, e1, ...: the first alias gives all but type and parameters."""
     known = {a.alias: i for i, a in enumerate(d.aliases)}
-    cells = [c for p in d.params for c in (F.lit(p.as_name), F.coalesce(operand(p.name, f"e{known[p.alias]}.") if p.alias in known else F.lit(None).cast("string"), F.lit("")))]
+    # the last of several of one name counts
+    cells = [c for p in {p.as_name: p for p in d.params}.values() for c in (F.lit(p.as_name), F.coalesce(operand(p.name, f"e{known[p.alias]}.") if p.alias in known else F.lit(None).cast("string"), F.lit("")))]
     params = F.create_map(*cells) if cells else F.create_map().cast("map<string,string>")
     ident = event_id(F.col("e0.txId"), F.col("e0.clauseIndex"), F.col("e0.seq.item"), F.lit(d.name), F.col("e0.id"))
     own = {"id": ident, "params": params, "eventType": F.lit(d.name), "raw": F.lit(None), "address": F.lit(None), "signature": F.lit(None)}

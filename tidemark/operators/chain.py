@@ -55,6 +55,11 @@ def prefetch(last: Column, now: Column | int, most: Column | int) -> Column:
     return F.when(last.isNull(), most).otherwise(F.least(most, behind + 1)).cast("bigint")
 
 
+def prefetch_size(last: int | None, now: int, most: int) -> int:
+    """``prefetch`` for one value."""
+    return most if last is None else min(most, max((now - last) // BLOCK_SECONDS, 0) + 1)
+
+
 def status(timestamp: Column, now: Column | int) -> Column:
     now = F.lit(now) if isinstance(now, int) else now
     return F.when(now - timestamp < RECENT_SECONDS, F.lit("FULLY_SYNCED")).otherwise(F.lit("SYNCING"))

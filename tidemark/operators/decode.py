@@ -143,7 +143,7 @@ def event_params(abi: Abi, topics: Column, data: Column, bare: Sequence[Column]
 
     ``bare`` has the topics without prefix, where they have a column of their own.
     """
-    cells: list[Column] = []
+    cells: dict[str, Column] = {}  # the last of several inputs of one name counts
     topic, place = 1, 0
     for i, p in enumerate(abi.inputs):
         if p.indexed:
@@ -155,8 +155,8 @@ def event_params(abi: Abi, topics: Column, data: Column, bare: Sequence[Column]
         else:
             cell = F.coalesce(_canonical(p, data, place), F.lit("0x"))
             place += 64 * head_words(p)
-        cells += [F.lit(p.name or f"_{i}"), cell]
-    return F.create_map(*cells) if cells else F.create_map().cast("map<string,string>")
+        cells[p.name or f"_{i}"] = cell
+    return F.create_map(*[c for n, v in cells.items() for c in (F.lit(n), v)]) if cells else F.create_map().cast("map<string,string>")
 
 
 def typed_view(abi: Abi, topics: Column, data: Column) -> list[Column]:

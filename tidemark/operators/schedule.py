@@ -6,6 +6,7 @@ relational forms at the end do the same on tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import TypeVar
@@ -13,6 +14,8 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 T = TypeVar("T")
 
 
@@ -132,9 +135,23 @@ def group_ranges(grouped: DataFrame) -> DataFrame:
 
 
 def merge_calls_table(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls (consumer, ordinal, keys) with the index of the distinct call each uses, by first use."""
+    """Calls (consumer, ordinal, keys) with the index of the distinct call each uses, by first use.
+
+    Distinct calls are range-sorted by first use and numbered within each range; a
+    range begins with the number of calls in those before it.
+    """
+    spark = calls.sparkSession
     first = calls.groupBy(*keys).agg(F.min(F.struct("consumer", "ordinal")).alias("_first"))
-    numbered = first.withColumn("idx", F.row_number().over(Window.orderBy("_first")).cast("bigint") - 1).drop("_first")
+    ranged = first.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_first").withColumn("_range", F.spark_partition_id())
+    # written, as ranges come from samples and must be the same in both uses
+    at = f"{shared_folder(spark)}/tidemark/calls-{uuid.uuid4().hex}"
+    ranged.write.parquet(at)
+    ranged = spark.read.schema(ranged.schema).parquet(at)
+    # a row for each range
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_first"))
+    numbered = ranged.join(F.broadcast(sizes), "_range").withColumn("idx", (F.col("_before") + within - 1).cast("bigint")).drop("_range", "_before", "_first")
     return calls.join(numbered, keys)
 
 

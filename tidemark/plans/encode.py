@@ -19,6 +19,9 @@ RETURNED, ACCEPTED, NOTED = (_abi(n, *_ITEM) for n in ("Returned", "Accepted", "
 ITEM_ABIS = {"R": RETURNED, "A": ACCEPTED, "N": NOTED}
 ABIS = tuple(ITEM_ABIS.values())
 
+#: The event of ``event_blocks``.
+SIZED = _abi("Sized", ("size", "uint256", False))
+
 #: Contract addresses are the supplier's key modulo this.
 CONTRACTS = 7
 
@@ -72,13 +75,13 @@ def order_transfers(orders: DataFrame) -> DataFrame:
     )
 
 
-def event_blocks(events: DataFrame) -> DataFrame:
-    """Events as blocks of ten seconds: a user is a transaction, each event an output of its own."""
+def event_blocks(events: DataFrame, topic0: str | None = None) -> DataFrame:
+    """Events as blocks of ten seconds: a user is a transaction, each event an output of its own. Topic 0 is the event's id, if no other is given."""
     number = F.floor(F.unix_timestamp("ts") / 10)
     amount = F.concat(F.lit("0x"), F.lower(F.hex(cents(F.abs("value")))))
     output = F.struct(
         F.col("ts"), F.col("event_id"), F.lit(None).cast("string").alias("contractAddress"),
-        F.array(F.struct(W.encode_address(F.col("user_id")).alias("address"), F.array(payload(W.encode_uint(F.col("event_id")))).alias("topics"), payload(W.encode_uint(F.length("event_type"))).alias("data"))).alias("events"),
+        F.array(F.struct(W.encode_address(F.col("user_id")).alias("address"), F.array(F.lit("0x" + topic0) if topic0 else payload(W.encode_uint(F.col("event_id")))).alias("topics"), payload(W.encode_uint(F.length("event_type"))).alias("data"))).alias("events"),
         F.array(F.struct(W.encode_address(F.col("user_id")).alias("sender"), W.encode_address(F.lit(1)).alias("recipient"), amount.alias("amount"))).alias("transfers"),
     )
     tx = events.select(number.alias("number"), "user_id", output.alias("o")).groupBy("number", "user_id").agg(F.sort_array(F.collect_list("o")).alias("o"))

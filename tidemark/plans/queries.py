@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from tidemark.operators.registry import Abi, Param
 from tidemark.session import shared_folder, ship
 from tidemark.sources import logs as scans
 from tidemark.sources import revision
+from tidemark.sources.chain import register
 
 from . import encode as E
 from .encode import table
@@ -312,7 +316,23 @@ def business_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(business.business_events(_decoded(ship(spark), sf_dir), [SWAP, ANY_RETURN]), "given", "got")
 
 
-@query()
+#: Depth first over the pairs of n events, a node for the start, one for each first event and one for each pair: of ten nodes,
+#: the first event and its partners get nine, so with n events the pairs (1, 2), ..., (1, 9) are seen, and with few events those
+#: of the next first events, as far as the nodes go. A match takes its two events and the search begins anew on the rest.
+_TWINS = """cand AS (
+  SELECT l_orderkey, l_linenumber, price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, item) AS k FROM items WHERE kind = 'Returned'),
+start AS (SELECT l_orderkey, list({'k': k, 'l': l_linenumber, 'p': price} ORDER BY k) AS pool FROM cand GROUP BY l_orderkey),
+step AS (
+  SELECT l_orderkey, pool, 0 AS round, NULL::BIGINT AS clause, NULL::BIGINT AS low, NULL::BIGINT AS high FROM start WHERE len(pool) >= 2
+  UNION ALL
+  SELECT l_orderkey, list_filter(pool, lambda x: x.k <> pair.a.k AND x.k <> pair.b.k), round + 1, pair.a.l, pair.a.p, pair.b.p
+  FROM (SELECT l_orderkey, pool, round, list_filter(list_transform(flatten(list_transform(range(1, len(pool) + 1), lambda i: list_transform(
+            list_filter(range(1, len(pool) + 1), lambda j: j <> i), lambda j: {'i': i, 'j': j, 'node': 1 + (i - 1) * len(pool) + 1 + CASE WHEN j < i THEN j ELSE j - 1 END}))),
+          lambda q: {'a': pool[q.i], 'b': pool[q.j], 'node': q.node}), lambda q: q.node <= 10 AND q.a.p < q.b.p)[1] AS pair FROM step WHERE len(pool) >= 2)
+  WHERE pair IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {_TWINS} SELECT l_orderkey::VARCHAR AS tx, clause::BIGINT AS clause, 'Twin' AS kind, low::VARCHAR AS low, high::VARCHAR AS high FROM step WHERE round > 0")
 def business_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth-first over combinations within ten nodes."""
     d = Definition("Twin", (Alias("Returned", "a"), Alias("Returned", "b")), (Rule("a", "price", "b", "price", "LT"),), (Taken("price", "a", "low"), Taken("price", "b", "high")), every_combination=True)
@@ -391,7 +411,7 @@ def block_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("until", chain.batch_end(F.col("batch") * 100, 100, 1200))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN event_id % 20 ELSE least(event_id % 20, greatest((1706000000 - floor(epoch(ts))::BIGINT) // 10, 0) + 1) END::BIGINT AS size FROM events WHERE floor(epoch(ts))::BIGINT <= 1706000000")
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN event_id % 20 ELSE least(event_id % 20, greatest((1706000000 - floor(epoch(ts))::BIGINT) // 10, 0) + 1) END::BIGINT AS size FROM events")
 def prefetch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("t"))
     last = F.when(F.col("event_id") % 11 != 0, F.col("t"))
@@ -427,6 +447,104 @@ def clause_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.merge_calls_table(calls, ["target"]).select("consumer", "ordinal", "target", "idx")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '-' ELSE '' END || ((event_id % 9 + 1)::HUGEINT * (1::HUGEINT << (62 + event_id % 50)::INT))::VARCHAR AS value, ((event_id % 9 + 1)::HUGEINT * (1::HUGEINT << (62 + event_id % 50)::INT))::VARCHAR AS amount FROM events")
+def abi_decode_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers over 2**60, signed and as hex amounts."""
+    i = F.col("event_id")
+    size = F.lit(62) + i % 50
+    # the digits of m * 2**size, whole hex digits after the first few bits
+    head = F.lower(F.hex(F.call_function("shiftleft", i % 9 + 1, (size % 4).cast("int"))))
+    digits = F.concat(head, F.repeat(F.lit("0"), F.floor(size / 4).cast("int")))
+    word = F.lpad(digits, 64, "0")
+    # two's complement: digits after the last one that is not 0 stay, that one is 16 - d, those before are 15 - d
+    tail = F.length(F.regexp_extract(word, "0*$", 0))
+    body = F.substring(word, F.lit(1), F.lit(63) - tail)
+    last = F.substring(word, F.lit(64) - tail, F.lit(1))
+    flipped = F.concat(F.translate(body, "0123456789abcdef", "fedcba9876543210"), F.translate(last, "123456789abcdef", "fedcba987654321"), F.repeat(F.lit("0"), tail))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(i % 3 == 0, flipped).otherwise(word).alias("data"), F.concat(F.lit("0x"), digits).alias("raw"))
+    return rows.select("event_id", *decode.typed([Param("value", "int256")], F.col("data")), W.quantity(F.col("raw")).alias("amount"))
+
+
+@query("SELECT event_id, (CASE event_id % 4 WHEN 0 THEN (event_id * 125) // 1000 || '.' || lpad(((event_id * 125) % 1000)::VARCHAR, 3, '0') WHEN 1 THEN '-' || event_id WHEN 2 THEN event_id % 90 || '.5' END)::DECIMAL(38, 18) AS value FROM events")
+def param_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal parameters: fractions, integers, exponents and words."""
+    i = F.col("event_id")
+    x = F.when(i % 4 == 0, (i.cast("decimal(20,0)") / 8).cast("decimal(30,3)").cast("string")).when(i % 4 == 1, F.concat(F.lit("-"), i.cast("string"))).when(i % 4 == 2, F.concat(((i % 90) * 10 + 5).cast("string"), F.lit("e-1"))).otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("x"), x).alias("params"))
+    return rows.select("event_id", P.as_big_decimal(P.get(F.col("params"), "x")).alias("value"))
+
+
+#: Fixed value: the topic of the standard transfer event of tokens.
+_TRANSFER_TOPIC = "ddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
+
+
+@query(f"SELECT o_orderkey, '{_TRANSFER_TOPIC}' AS signature, 'Transfer' AS kind, {_address('o_custkey')} AS sender, {_cents('o_totalprice')} AS value FROM orders WHERE o_orderkey % 2 = 0")
+def known_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with a published topic 0 among others: the registry computes the same hash."""
+    word = lambda x: E.payload(W.encode_uint(x))
+    topic = F.when(F.col("o_orderkey") % 2 == 0, F.lit("0x" + _TRANSFER_TOPIC)).otherwise(F.lit("0x" + "1" * 64))
+    abi = Abi("Transfer", "event", (Param("from", "address", True), Param("to", "address", True), Param("value", "uint256")))
+    o = F.col("o_orderkey")
+    logs = table(spark, sf_dir, "orders").select(
+        W.encode_address(F.col("o_custkey")).alias("address"), F.array(topic, word(F.col("o_custkey")), word(F.lit(1))).alias("topics"),
+        word(E.cents(F.col("o_totalprice"))).alias("data"), E.meta(F.floor(o / 10), o, W.encode_address(F.col("o_custkey")), F.lit(0)).alias("meta"),
+    )
+    e = events.decode(events.log_events(logs), [abi])
+    p = lambda n: P.get(F.col("params"), n)
+    return e.select(F.col("txId").cast("bigint").alias("o_orderkey"), "signature", F.col("eventType").alias("kind"), p("from").alias("sender"), P.as_long(p("value")).alias("value"))
+
+
+@query(f"WITH {_BLOCKS} SELECT number AS block, number || ':' || user_id AS tx, clause::BIGINT AS clause, length(event_type)::BIGINT AS size, '0x1' AS paid, 21000::BIGINT AS gas, {_address('user_id')} AS payer, {_address('user_id')} AS origin FROM nested JOIN (SELECT event_id, event_type FROM events) USING (event_id)")
+def block_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of blocks decoded, with the gas fields of their transactions."""
+    blocks = E.event_blocks(table(spark, sf_dir, "events"), E.SIZED.signature)
+    e = events.decode(events.block_events(blocks), [E.SIZED])
+    return e.select(F.col("blockNumber").alias("block"), F.col("txId").alias("tx"), F.col("clauseIndex").alias("clause"), P.as_long(P.get(F.col("params"), "size")).alias("size"), "paid", F.col("gasUsed").alias("gas"), F.col("gasPayer").alias("payer"), "origin")
+
+
+def _node(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of blocks for the chain source: suppliers as blocks with one transfer each."""
+    at = Path(tempfile.mkdtemp(prefix="tidemark-node-")) / "blocks"
+    at.mkdir()
+    for r in table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", E.cents(F.col("s_acctbal")).alias("balance")).orderBy("s_suppkey").toLocalIterator():
+        moved = {"sender": f"0x{r.s_suppkey:040x}", "recipient": f"0x{r.s_nationkey:040x}", "amount": hex(abs(r.balance))}
+        tx = {"id": f"t{r.s_suppkey}", "origin": moved["sender"], "gasPayer": moved["sender"], "paid": "0x1", "gasUsed": 1, "reverted": False, "outputs": [{"contractAddress": None, "events": [], "transfers": [moved]}]}
+        n = r.s_suppkey
+        (at / f"{n}.json").write_text(json.dumps({"number": n, "id": f"b{n}", "parentID": f"b{n - 1}", "timestamp": n * 10, "transactions": [tx]}))
+    return str(at.parent)
+
+
+_MOVED = "SELECT s_suppkey AS block, 'b' || s_suppkey AS id, abs(round(s_acctbal * 100)::BIGINT) AS amount FROM supplier"
+
+
+@query(f"{_MOVED} WHERE s_suppkey >= (SELECT min(s_suppkey) + 3 FROM supplier)")
+def chain_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers of a node by the chain source: a start block, pages of two logs, a task for every seven blocks."""
+    first = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
+    at = _node(register(ship(spark)), sf_dir)
+    logs = spark.read.format("chain").options(mode="transfers", path=at, startBlock=first + 3, blockBatchSize=7, logFetchLimit=2).load()
+    e = events.log_transfers(logs)
+    return e.select(F.col("blockNumber").alias("block"), F.col("blockId").alias("id"), P.as_long(P.get(F.col("params"), "amount")).alias("amount"))
+
+
+@query(f"SELECT block, id, amount, ((block - (SELECT min(s_suppkey) FROM supplier)) // 25)::BIGINT AS turn FROM ({_MOVED})")
+def chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a node as a stream of 25 blocks a trigger; the turn is the number of the micro-batch."""
+    first = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
+    at, out = _node(register(ship(spark)), sf_dir), f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    rows = spark.readStream.format("chain").options(path=at, startBlock=first, maxBlocksPerTrigger=25).load()
+
+    def step(batch: DataFrame, turn: int) -> None:
+        e = events.block_transfers(batch)
+        e = e.select(F.col("blockNumber").alias("block"), F.col("blockId").alias("id"), P.as_long(P.get(F.col("params"), "amount")).alias("amount"), F.lit(turn).cast("bigint").alias("turn"))
+        e.write.mode("overwrite").parquet(f"{out}/rows/batch={turn}")
+
+    stream = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").start()
+    stream.processAllAvailable()
+    stream.stop()
+    return spark.read.schema("block bigint, id string, amount bigint, turn bigint").parquet(f"{out}/rows/batch=*")
+
+
 _RAW = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' BEST ' WHEN 1 THEN '00' || event_id WHEN 2 THEN '0x' || repeat('A', 64) WHEN 3 THEN '0x12' ELSE event_type END AS x FROM events)"
 
 

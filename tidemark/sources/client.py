@@ -6,11 +6,11 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any, Protocol
 
-from tidemark.streaming.retry import BlockNotFound, RateLimited
+from tidemark.streaming.retry import BlockNotFound, RateLimited, retry
 
 from .revision import Revision
 
@@ -142,14 +142,33 @@ def client(options: Mapping[str, str]) -> HttpClient | FileClient:
     raise ValueError("the source needs a url or a path")
 
 
-def drain(own: Client, kind: str, first: int, last: int, limit: int = PAGE, criteria: Sequence[Mapping] = ()) -> list[dict]:
-    """All pages of a log scan, ascending, until one is short."""
-    out: list[dict] = []
+def pages(own: Client, kind: str, first: int, last: int, limit: int = PAGE, criteria: Sequence[Mapping] = (), attempts: int | None = 1) -> Iterator[list[dict]]:
+    """The pages of a log scan, ascending, until one is short; one is held at a time."""
+    offset = 0
     while True:
-        page = own.logs(kind, first, last, len(out), limit, criteria)
-        out += page
+        page = retry(lambda: own.logs(kind, first, last, offset, limit, criteria), passes=(), attempts=attempts)  # noqa: B023
+        yield page
         if len(page) < limit:
-            return out
+            return
+        offset += len(page)
+
+
+def drain(own: Client, kind: str, first: int, last: int, limit: int = PAGE, criteria: Sequence[Mapping] = ()) -> Iterator[dict]:
+    """All logs of a scan."""
+    for page in pages(own, kind, first, last, limit, criteria):
+        yield from page
+
+
+def best(own: Client, expanded: bool = True) -> dict:
+    return own.block("best", expanded)
+
+
+def finalized(own: Client, expanded: bool = True) -> dict:
+    return own.block("finalized", expanded)
+
+
+def justified(own: Client, expanded: bool = True) -> dict:
+    return own.block("justified", expanded)
 
 
 def wait_for(own: Client, revision: str | int, expanded: bool = True, stopped: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep) -> dict:

@@ -16,14 +16,14 @@ _PLACEHOLDER = re.compile(r"\$\{(\w+)\}")
 
 
 def find(base: str | Path, suffix: str | None = None, depth: int = 2) -> list[Path]:
-    """Files below ``base``, at most ``depth`` folders deep, in order of their path. A file is itself; nothing is an error."""
+    """Files below ``base``, at most ``depth`` folders deep, in order of their path; the suffix is in any case. A file is itself; nothing is an error."""
     base = Path(base)
     if base.is_file():
         return [base]
     if not base.is_dir():
         raise FileNotFoundError(f"no such file or folder: {base}")
     found = (p for p in base.rglob("*") if p.is_file() and len(p.relative_to(base).parts) <= depth + 1)
-    return sorted((p for p in found if suffix is None or p.name.endswith(suffix)), key=str)
+    return sorted((p for p in found if suffix is None or p.name.lower().endswith(suffix.lower())), key=str)
 
 
 def substitute(text: str, values: Mapping[str, str] | None = None) -> str:

@@ -10,6 +10,7 @@ from typing import TypeVar
 
 log = logging.getLogger(__name__)
 T = TypeVar("T")
+nap = time.sleep
 
 
 class BlockNotFound(Exception):
@@ -28,7 +29,7 @@ class Stopped(Exception):
     """The work was shut down."""
 
 
-def retry(call: Callable[[], T], first: float = 1.0, factor: float = 2.0, most: float = 30.0, passes: tuple[type[BaseException], ...] = (Reorganised, Stopped), attempts: int | None = None, sleep: Callable[[float], None] = time.sleep) -> T:
+def retry(call: Callable[[], T], first: float = 1.0, factor: float = 2.0, most: float = 30.0, passes: tuple[type[BaseException], ...] = (Reorganised, Stopped), attempts: int | None = None, sleep: Callable[[float], None] | None = None) -> T:
     """Call until it works; the delay doubles up to ``most`` seconds, plus up to as much at random."""
     delay, n = first, 0
     while True:
@@ -42,5 +43,5 @@ def retry(call: Callable[[], T], first: float = 1.0, factor: float = 2.0, most:
                 raise
             wait = delay + random.uniform(0, delay)
             log.warning("attempt %d failed: %s; again in %.1f s", n, e, wait)
-            sleep(wait)
+            (sleep or nap)(wait)
             delay = min(delay * factor, most)

@@ -2,15 +2,17 @@
 
 A group of indexers that stand at about the same block is one streaming query;
 each micro-batch goes to the group's indexers in dependency order. Catch-up reads
-logs in bounded batches up to the finalized block. A reorganisation rolls the
-sinks back and starts the queries again from the new positions.
+logs in wide ranges of many batches, each batch a task, up to the finalized block. A
+reorganisation rolls the sinks back and starts the queries again from the new
+positions. A step that fails is tried again with backoff; a query that dies of
+anything else is started again from the sinks' positions.
 """
 
 from __future__ import annotations
 
 import enum
 import logging
-import tempfile
+import re
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import business, chain, combine, events, registry
 from tidemark.operators.schedule import Node, components, depends_on_any, merge_calls, proximity
-from tidemark.session import ship
+from tidemark.session import shared_folder, ship
 from tidemark.sources.chain import register
 from tidemark.sources.client import PAGE, client
 
@@ -72,6 +74,7 @@ class Config:
     batch: int = BATCH
     page: int = PAGE
     progress: int = PROGRESS
+    width: int = 0  # batches of a catch-up step; 0: four for each core
 
 
 class Builder:
@@ -118,10 +121,11 @@ class Builder:
         """(to, value, data) of each call to simulate on every block."""
         return self._with(calls=clauses)
 
-    def batch(self, blocks: int, page: int = PAGE) -> Builder:
-        if blocks < 1 or page < 1:
+    def batch(self, blocks: int, page: int = PAGE, width: int = 0) -> Builder:
+        """Blocks of a task of the catch-up, logs of a page, and tasks of a step."""
+        if blocks < 1 or page < 1 or width < 0:
             raise ValueError("a batch and a page hold one or more")
-        return self._with(batch=blocks, page=page)
+        return self._with(batch=blocks, page=page, width=width)
 
     def progress_every(self, blocks: int) -> Builder:
         if blocks <= 0:
@@ -199,21 +203,24 @@ class BlockIndexer:
 class LogIndexer(BlockIndexer):
     """Catches up by scans of logs in batches of blocks; near the tip it goes by blocks like the others."""
 
-    def fast_sync(self, spark: SparkSession) -> None:
-        """Up to the finalized block, that one too."""
-        ensure(self.status, Status.INITIALISED)
+    def fast_sync(self, spark: SparkSession, interrupted: Callable[[], bool] = lambda: False) -> None:
+        """Up to the finalized block, that one too. A step reads ``width`` batches at once, each in a task of its own."""
+        ensure(self.status, Status.INITIALISED, Status.FAST_SYNCING)
         own = client(self.config.source)
         target = own.block("finalized", False)
         self.status = Status.FAST_SYNCING
+        step = self.config.batch * (self.config.width or 4 * spark.sparkContext.defaultParallelism)
         while self.current <= target["number"]:
             if self.status is Status.SHUT_DOWN:
                 raise Stopped(self.name)
-            end = min(self.current + self.config.batch - 1, target["number"])
+            if interrupted():
+                break
+            end = min(self.current + step - 1, target["number"])
             self._batch(spark, self.current, end, target)
         self.status = Status.INITIALISED
 
     def _scan(self, spark: SparkSession, mode: str, first: int, last: int, criteria: str) -> DataFrame:
-        options = {**self.config.source, "mode": mode, "startBlock": str(first), "endBlock": str(last), "criteria": criteria, "logFetchLimit": str(self.config.page), "blockBatchSize": str(max(1, self.config.batch // 8))}
+        options = {**self.config.source, "mode": mode, "startBlock": str(first), "endBlock": str(last), "criteria": criteria, "logFetchLimit": str(self.config.page), "blockBatchSize": str(self.config.batch)}
         return spark.read.format("chain").options(**options).load()
 
     def _batch(self, spark: SparkSession, first: int, last: int, target: Mapping) -> None:
@@ -236,13 +243,15 @@ class LogIndexer(BlockIndexer):
 class Runner:
     """Runs indexers over one source until stopped, or until the best block if ``once``."""
 
-    def __init__(self, spark: SparkSession, indexers: Sequence[BlockIndexer], checkpoints: str | None = None, near: int = NEAR, regroup: float = REGROUP, blocks: int = 1):
+    def __init__(self, spark: SparkSession, indexers: Sequence[BlockIndexer], checkpoints: str | None = None, near: int = NEAR, regroup: float = REGROUP, blocks: int = 1, attempts: int | None = None, sleep: Callable[[float], None] = time.sleep):
+        """``attempts`` bounds the tries of a step, and the restarts in a row without a new block; None: until it works."""
         if not indexers:
             raise ValueError("there is nothing to run")
         if blocks < 1:
             raise ValueError("a batch holds one block or more")
         self.spark, self.indexers, self.near, self.regroup, self.blocks = register(ship(spark)), list(indexers), near, regroup, blocks
-        self.checkpoints = checkpoints or "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoints-")
+        self.checkpoints = checkpoints or f"{shared_folder(spark)}/tidemark/streams"
+        self.attempts, self.sleep = attempts, sleep
         self.stopping = False
         components([i.node for i in self.indexers])
 
@@ -253,10 +262,19 @@ class Runner:
 
     def initialise(self, some: Sequence[BlockIndexer]) -> None:
         with ThreadPoolExecutor(max(1, len(some))) as pool:
-            list(pool.map(lambda i: retry(i.initialise), some))
+            list(pool.map(lambda i: self._try(i.initialise), some))
+
+    def _try(self, call: Callable):
+        """With backoff, but for what trying again doesn't help."""
+        return retry(call, passes=(Reorganised, Stopped, ValueError), attempts=self.attempts, sleep=self.sleep)
+
+    def _positions(self) -> list[int]:
+        return [i.current for i in self.indexers]
 
     def run(self, once: bool = False) -> None:
+        failed, delay = 0, 1.0
         while not self.stopping:
+            before = self._positions()
             try:
                 self._catch_up(once)
                 self.initialise([i for i in self.indexers if not isinstance(i, LogIndexer)])
@@ -265,26 +283,48 @@ class Runner:
                     return
             except Reorganised as e:
                 log.warning("%s; starting again", e)
+            except Stopped:
+                if not self.stopping:
+                    raise
+            except Exception as e:
+                failed = 1 if self._positions() != before else failed + 1
+                if self.attempts is not None and failed >= self.attempts:
+                    raise
+                delay = min(30.0, 2.0**failed)
+                log.warning("%s; starting again in %.0f s", e, delay)
+                self.sleep(delay)
 
     def _catch_up(self, once: bool) -> None:
-        """Catch-up of those that can, each in its own thread; the others, unless they need one of these, run on meanwhile."""
+        """Catch-up of those that can, each in its own thread; the others, unless they need one of these, run on meanwhile.
+
+        If their queries fail or meet a reorganisation, the catch-up is interrupted and all start again.
+        """
         fast = [i for i in self.indexers if isinstance(i, LogIndexer)]
         self.initialise(fast)
         if not fast:
             return
         names, nodes = {i.name for i in fast}, [i.node for i in self.indexers]
         free = [i for i in self.indexers if i.name not in names and not depends_on_any(i.node, names, nodes)]
+        torn: list[Exception] = []
         with ThreadPoolExecutor(len(fast)) as pool:
-            work = [pool.submit(retry, lambda i=i: i.fast_sync(self.spark)) for i in fast]
+            work = [pool.submit(self._try, lambda i=i: i.fast_sync(self.spark, lambda: bool(torn))) for i in fast]
             if free and not once:
-                self.initialise(free)
-                queries = self._start(free, False)
-                while not all(w.done() for w in work):
-                    time.sleep(1)
-                for q in queries:
-                    q.stop()
+                queries = []
+                try:
+                    self.initialise(free)
+                    queries = self._start(free, False)
+                    while not all(w.done() for w in work) and all(q.isActive for q in queries):
+                        time.sleep(0.2)
+                except Exception as e:
+                    torn.append(e)
+                finally:
+                    for q in queries:
+                        q.stop()
+                    torn += [q.exception() for q in queries if q.exception() is not None]
             for w in work:
                 w.result()
+        if torn:
+            raise _cause(torn[0])
 
     def _start(self, some: Sequence[BlockIndexer], once: bool) -> list:
         by_name = {i.name: i for i in some}
@@ -305,7 +345,7 @@ class Runner:
             try:
                 results = inspect(batch, group[0].config.source, calls) if calls else None
                 for i, own in zip(group, index, strict=True):
-                    i.process(batch, chain.with_inspections(batch, results, own) if results is not None and own else None)
+                    self._try(lambda i=i, own=own: i.process(batch, chain.with_inspections(batch, results, own) if results is not None and own else None))
             finally:
                 batch.unpersist()
 
@@ -313,28 +353,34 @@ class Runner:
         return (write.trigger(availableNow=True) if once else write.trigger(processingTime="3 seconds")).start()
 
     def _tail(self, once: bool) -> None:
-        queries = self._start(self.indexers, once)
-        began = time.time()
-        alone = len(queries) == 1
-        try:
-            while not self.stopping and any(q.isActive for q in queries):
+        """The queries of all groups; after the interval the groups are formed anew from where their indexers stand."""
+        while not self.stopping:
+            queries = self._start(self.indexers, once)
+            began = time.time()
+            try:
+                while not self.stopping and all(q.isActive for q in queries):
+                    queries[0].awaitTermination(0.2)
+                    if not once and len(queries) > 1 and time.time() - began > self.regroup:
+                        break
+                if once:
+                    for q in queries:
+                        q.awaitTermination()
+            except Exception as e:
+                raise _cause(e) from e
+            finally:
                 for q in queries:
-                    q.awaitTermination(1)
-                if not once and not alone and time.time() - began > self.regroup:
-                    return
-        except Exception as e:
-            raise _cause(e) from e
-        finally:
+                    q.stop()
             for q in queries:
-                q.stop()
-        for q in queries:
-            if q.exception() is not None:
-                raise _cause(q.exception())
+                if q.exception() is not None:
+                    raise _cause(q.exception())
+            if once:
+                return
 
 
 def _cause(e: Exception) -> Exception:
-    """A reorganisation that a query died of, as itself."""
-    return Reorganised(str(e)[:300]) if "Reorganised" in str(e) else e
+    """A reorganisation that a query died of, as itself. The name of the class alone may stand in any traceback."""
+    found = re.search(r"retry\.Reorganised: (.*)", str(e))
+    return Reorganised(found[1]) if found else e
 
 
 def inspect(blocks: DataFrame, source: Mapping[str, str], calls: Sequence[tuple[str, str, str]]) -> DataFrame:

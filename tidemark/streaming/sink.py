@@ -9,6 +9,10 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.schemas import INDEXED_EVENT
+
+CONTROL = "name string, number bigint, id string, status string, updated_at double"
+
 
 @dataclass(frozen=True)
 class BlockId:
@@ -54,8 +58,12 @@ class Processor(Protocol):
 class TableProcessor:
     """Events as Parquet, a folder for each run of blocks, and a control table with the position.
 
-    A run writes the folder of its first block anew, so a repeated run changes
-    nothing. The control table is appended to; its newest row counts.
+    A run's folder is named after its first block and a version; the newest version
+    that is whole counts, so writing a run again or cutting it in a rollback
+    never leaves a moment without its events, and a repeated run changes nothing.
+    The position is one small folder for each indexer, versioned in the same way;
+    older versions go, so reading it does not grow with the chain. A rollback moves the
+    position first: if it is broken off, the next one finishes it.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str):
@@ -65,49 +73,79 @@ class TableProcessor:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _runs(self) -> list[int]:
-        """First blocks of the runs there are."""
-        fs, p = self._fs(f"{self.path}/events")
+    def _names(self, at: str) -> list[str]:
+        """Names of the whole folders below a path."""
+        fs, p = self._fs(at)
         if not fs.exists(p):
             return []
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("run="))
+        done = lambda x: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
+        return [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory() and done(x)]
+
+    def _delete(self, at: str) -> None:
+        fs, p = self._fs(at)
+        fs.delete(p, True)
+
+    def _versions(self) -> dict[int, list[int]]:
+        """The versions of each run, by its first block."""
+        out: dict[int, list[int]] = {}
+        for name in self._names(f"{self.path}/events"):
+            first, version = name.removeprefix("run=").split(".")
+            out.setdefault(int(first), []).append(int(version))
+        return {k: sorted(v) for k, v in sorted(out.items())}
+
+    def _at(self, first: int, version: int) -> str:
+        return f"{self.path}/events/run={first}.{version}"
+
+    def _put(self, rows: DataFrame, first: int) -> None:
+        """A new version of a run in place of the others."""
+        old = self._versions().get(first, [])
+        rows.write.mode("overwrite").parquet(self._at(first, (old[-1] if old else 0) + 1))
+        for v in old:
+            self._delete(self._at(first, v))
 
     def events(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/events").drop("run") if self._runs() else None
+        live = [self._at(first, v[-1]) for first, v in self._versions().items()]
+        return self.spark.read.schema(INDEXED_EVENT).parquet(*live) if live else None
+
+    def _positions(self) -> list[int]:
+        return sorted(int(n.removeprefix("v")) for n in self._names(f"{self.path}/control/{self.name}"))
 
     def control(self) -> DataFrame | None:
-        fs, p = self._fs(f"{self.path}/control")
-        return self.spark.read.schema("name string, number bigint, id string, status string, updated_at double").parquet(f"{self.path}/control") if fs.exists(p) else None
+        """The newest row of this indexer."""
+        found = self._positions()
+        return self.spark.read.schema(CONTROL).parquet(f"{self.path}/control/{self.name}/v{found[-1]}") if found else None
 
     def last_synced(self) -> BlockId | None:
         table = self.control()
-        rows = table.where(F.col("name") == self.name).orderBy(F.desc("updated_at")).limit(1).collect() if table is not None else []
-        return BlockId(rows[0].number, rows[0].id) if rows and rows[0].number is not None and rows[0].number >= 0 else None
+        row = table.first() if table is not None else None
+        return BlockId(row.number, row.id) if row and row.number is not None and row.number >= 0 else None
 
     def advance(self, last: BlockId, status: str) -> None:
+        old = self._positions()
         row = [(self.name, last.number, last.id, status, time.time())]
-        self.spark.createDataFrame(row, "name string, number bigint, id string, status string, updated_at double").coalesce(1).write.mode("append").parquet(f"{self.path}/control")
+        self.spark.createDataFrame(row, CONTROL).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/control/{self.name}/v{(old[-1] if old else 0) + 1}")
+        for v in old:
+            self._delete(f"{self.path}/control/{self.name}/v{v}")
 
     def process(self, result: Result) -> None:
-        result.events.write.mode("overwrite").parquet(f"{self.path}/events/run={result.first}")
+        self._put(result.events, result.first)
         self.advance(result.last, result.status)
 
     def rollback(self, number: int) -> None:
-        runs = self._runs()
-        for first in runs:
-            at = f"{self.path}/events/run={first}"
-            fs, p = self._fs(at)
-            later = [x for x in runs if x > first]
-            if first >= number:
-                fs.delete(p, True)
-            elif not later or later[0] > number:
-                kept = f"{self.path}/rollback/run={first}"
-                self.spark.read.parquet(at).where(F.col("blockNumber") < number).write.mode("overwrite").parquet(kept)
-                fs.delete(p, True)
-                fs.rename(self._fs(kept)[1], p)
         before = self.last_synced()
         if before is not None and before.number >= number:
             # the id of the block that is now the last, if it has an event, so that the next one's parent can be checked
             kept = self.events()
             rows = kept.where(F.col("blockNumber") == number - 1).select("blockId").limit(1).collect() if kept is not None else []
             self.advance(BlockId(number - 1, rows[0].blockId if rows else None), "INITIALISED")
+        runs = self._versions()
+        for first, versions in runs.items():
+            if first >= number:
+                for v in versions:
+                    self._delete(self._at(first, v))
+        over = [first for first in runs if first < number]
+        if over:
+            # only the last run before the block can reach it
+            rows = self.spark.read.schema(INDEXED_EVENT).parquet(self._at(over[-1], runs[over[-1]][-1]))
+            if rows.where(F.col("blockNumber") >= number).head(1):
+                self._put(rows.where(F.col("blockNumber") < number), over[-1])
