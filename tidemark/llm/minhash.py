@@ -202,15 +202,18 @@ def judged_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
     # a class is named by its first text, as an id may have several
     classes = materialise(classes.withColumn("cid", F.xxhash64("first.doc_id", "first.copy")), "classes")
 
-    rows = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("far")).where("hub.cid < far")
+    # names alone travel with the buckets' keys, so that their minima are hashed together before the shuffle
+    rows = classes.select("cid", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub < far")
     # written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits
     shared = materialise(shared.select("key", "hub"), "shared")
     rows = materialise(rows.join(shared, "key"), "buckets")
     discard(shared)
     # a pair whose sizes already tell that it is no pair needs no sets
-    alike = f"cid <> hub.cid AND 100 * least(n, hub.n) >= {p.percent} * greatest(n, hub.n)"
-    pairs = materialise(rows.where(alike).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    size = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"))
+    pairs = rows.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    alike = f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)"
+    pairs = materialise(pairs.join(size("b"), "b").join(size("a"), "a").where(alike).select("a", "b"), "pairs")
     # texts only of classes that share a bucket with another
     named = rows.select("cid").distinct()
     sets = materialise(text.select(F.xxhash64("doc_id", "copy").alias("cid"), "text").join(named, "cid", "left_semi").dropDuplicates(["cid"]).mapInArrow(_sets(p), "cid long, items binary"), "sets") if rows.head(1) else None
