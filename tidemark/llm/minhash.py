@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import discard, materialise
+from .storage import discard, materialise, settled
 from .wordhash import MULT, Words, grams, long, mix, pieces
 
 
@@ -192,8 +192,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def judged_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of ``near_duplicates`` with ``copy``, the xxhash64 of the text."""
-    p = params
+    """The rows of ``near_duplicates`` with ``copy``, the xxhash64 of the text, as a written table."""
+    return settled(lambda: _judged(docs, params), "judged")
+
+
+def _judged(docs: DataFrame, p: Params) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
     signed = materialise(text.mapInArrow(_sign(p), "doc_id long, copy long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise
+from .storage import discard, materialise, settled
 from .wordhash import MULT, Words, grams, long, mix, pieces, windows
 
 #: Parts into which the contents of one minimiser are dealt to look up whether it is hot.
@@ -202,9 +202,12 @@ def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, copy, spans): runs of windows that also start in a document with a smaller id.
 
     ``copy`` is xxhash64 of the text; a span has the place of its first word and
-    its number of windows. ``docs`` has doc_id, copy and text.
+    its number of windows. ``docs`` has doc_id, copy and text. The result is a written table.
     """
-    p = params
+    return settled(lambda: _repeated(docs, params), "spans")
+
+
+def _repeated(docs: DataFrame, p: Params) -> DataFrame:
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     listed = materialise(some.mapInArrow(_list(p), "least long, content long, doc_id long, copy long, start int, n int"), "superkmers")
     stats = listed.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
@@ -235,8 +238,7 @@ def repeated_spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     later = shared.join(firsts, ["least", "content"]).where("doc_id > low").select("doc_id", "copy", "start", "n")
     own = shared.select("least", "content", "doc_id", "copy", "start").join(firsts.join(judged, ["least", "content"]), ["least", "content"]).where("doc_id = low")
     own = own.select("doc_id", "copy", F.col("start").alias("at"), F.explode("gone").alias("g")).select("doc_id", "copy", (F.col("at") + F.col("g.start")).alias("start"), F.col("g.n").alias("n"))
-    out = later.union(own).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return materialise(out, "spans")
+    return later.union(own).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _strip(p: Params, give: str):
