@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, minhash, mixing, quality, substring
-from tidemark.llm.storage import materialise, read
+from tidemark.llm.storage import materialise, read, settled
 from tidemark.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,9 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     ship(spark)
     docs = docs.select(*COLUMNS)
-    judged = minhash.judged_copies(docs)
     one = ["doc_id", "copy"]
-    gone = materialise(judged.where("NOT kept").select(*one).distinct(), "gone")
+    gone = settled(lambda: minhash.judged_copies(docs).where("NOT kept").select(*one).distinct(), "gone")
     docs = docs.withColumn("copy", F.xxhash64("text"))
     out = docs.join(gone, one, "left_anti").select(*COLUMNS, "copy")
     repeated = materialise(docs.where("doc_id IS NOT NULL").groupBy(*one).count().where("count > 1").select(*one), "repeated")
@@ -80,9 +79,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     same = ["doc_id", "source", "copy_key"]
-    mixed = mixing.mix(docs)
-    copies = mixed.groupBy(*same).agg(F.sum(F.col("taken").cast("int")).alias("copies"), F.sum((F.col("copy") == 1).cast("int")).alias("rows")).where("copies > 0")
-    copies = materialise(copies, "copies").alias("c")
+    counts = F.sum(F.col("taken").cast("int")).alias("copies"), F.sum((F.col("copy") == 1).cast("int")).alias("rows")
+    copies = settled(lambda: mixing.mix(docs).groupBy(*same).agg(*counts).where("copies > 0"), "copies").alias("c")
     rows = docs.withColumn("copy_key", F.xxhash64("text")).alias("d")
     rows = rows.join(copies, [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in same]).select("d.*", "c.copies", "c.rows")
     if copies.where("rows > 1").head(1):
