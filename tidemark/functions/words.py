@@ -64,7 +64,7 @@ def uint(w: Column) -> Column:
     """A word as canonical decimal text; null if it isn't hex. Values below 2**60 take a short way."""
     low = F.substring(w, 50, 15)
     long_ = F.when((F.length(w) == 64) & is_hex(w), let(w, lambda x: _digits(x, 0)))
-    return F.when(w.startswith("0" * 49) & is_hex(low), _long(low).cast("string")).otherwise(long_)
+    return F.when(w.startswith("0" * 49) & is_hex(low), F.conv(low, 16, 10)).otherwise(long_)
 
 
 def sint(w: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,31 @@ def matching(abis: Iterable[Abi]) -> list[Abi]:
     return list(out.values())
 
 
-def _case(abis: Sequence[Abi], value, kind: str) -> Column:
-    """The value of the entry that a row with bare topics fits."""
-    out = F.lit(None).cast(kind)
+def _fits(abis: Sequence[Abi], n_topics: Column, topic0: Column) -> Column:
+    """Whether a row with so many topics and this first one fits one of the entries."""
+    counts: dict[int, list[str]] = {}
+    for a in abis:
+        counts.setdefault(a.n_topics, []).append(a.signature)
+    return reduce(or_, [(n_topics == n) & topic0.isin(signatures) for n, signatures in counts.items()], F.lit(False))
+
+
+def _name(abis: Sequence[Abi]) -> Column:
+    """The name of the entry that a row with bare topics fits, else null."""
+    out = F.lit(None).cast("string")
     for a in reversed(abis):
-        out = F.when((F.col("_t0") == a.signature) & (F.col("_n") == a.n_topics), value(a)).otherwise(out)
+        out = F.when((F.col("_t0") == a.signature) & (F.col("_n") == a.n_topics), F.lit(a.name)).otherwise(out)
+    return out
+
+
+def _params(abis: Sequence[Abi], topics: Column, data: Column, bare: Sequence[Column]) -> Column:
+    """The parameters of a row that fits one of the entries. Entries of one layout share one decoder."""
+    layouts: dict[tuple, list[Abi]] = {}
+    for a in abis:
+        layouts.setdefault(a.inputs, []).append(a)
+    *some, last = layouts.values()
+    out = event_params(last[0], topics, data, bare)
+    for own in reversed(some):
+        out = F.when(_fits(own, F.col("_n"), F.col("_t0")), event_params(own[0], topics, data, bare)).otherwise(out)
     return out
 
 
@@ -94,12 +116,16 @@ def decode(rows: DataFrame, abis: Sequence[Abi], contracts: Sequence[str] = ())
     """Indexed events of undecoded rows that an entry of the registry fits; the others are left out."""
     abis = matching(abis)
     topics = F.col("topics")
-    rows = rows.where(is_valid(topics, F.col("address"), abis, contracts))
+    # one test of each row: the entry's topic and number of topics, and the address
+    wanted = _fits(abis, F.size(topics), _topic0(topics))
+    if contracts:
+        wanted = wanted & F.lower("address").isin(sorted({c.lower() for c in contracts}))
+    rows = rows.where(wanted)
     # computed once a row, below the many places that read them
     rows = rows.withColumns({"_n": F.size(topics), "_t0": _topic0(topics), "_data": W.strip0x(F.coalesce("data", F.lit("")))} | {f"_t{i}": W.strip0x(F.get(topics, F.lit(i))) for i in range(1, _TOPICS)})
-    rows = rows.withColumn("_name", _case(abis, lambda a: F.lit(a.name), "string")).where("_name IS NOT NULL")
+    rows = rows.withColumn("_name", _name(abis))
     bare = [F.col(f"_t{i}") for i in range(_TOPICS)]
-    params = _case(abis, lambda a: event_params(a, topics, F.col("_data"), bare), "map<string,string>")
+    params = _params(abis, topics, F.col("_data"), bare) if abis else F.lit(None).cast("map<string,string>")
     ident = event_id(F.col("txId"), F.col("clauseIndex"), F.col("item"), F.col("address"), topics, F.col("data"))
     return _event(rows, 0, id=ident, eventType=F.col("_name"), params=params, raw=F.struct("data", "topics"), signature=F.col("_t0"))
 
