@@ -352,3 +352,40 @@ def test_intermediate_reorganisation_restarts_everything(spark, node, tmp_path):
         LogIndexer._batch = held
     assert seen(sink) == seen(other) == expected(31)
     assert {r.blockId for r in other.events().where(F.col("blockNumber") >= 29).collect()} == {"b29x", "b30x", "b31"}
+
+
+def test_a_folder_is_not_listed_for_each_block_or_page(node, monkeypatch):
+    """What a block or a short range costs doesn't grow with the folder, and the pages of a scan open each block once."""
+    own, listed, opened = C.FileClient(str(node), 20), [], []
+    numbers, read = own._numbers, own._block
+    monkeypatch.setattr(own, "_numbers", lambda: listed.append(1) or numbers())
+    monkeypatch.setattr(own, "_block", lambda n: opened.append(n) or read(n))
+    assert own.block(5)["number"] == 5 and own.block("finalized")["number"] == 20 and not listed
+    opened.clear()
+    got = [x["meta"]["blockNumber"] for page in C.pages(own, "event", 3, 9, 2) for x in page]
+    assert got == [n for n in range(3, 10) for _ in range(n % 3)] and opened == list(range(3, 10)) and not listed
+    # a page out of turn, or of another scan, is read from the start
+    every = [x["topics"] for x in own.logs("event", 3, 9)]
+    assert [x["topics"] for x in own.logs("event", 3, 9, 4, 2)] == every[4:6] and [x["topics"] for x in own.logs("event", 3, 9, 2, 2)] == every[2:4]
+    assert [x["meta"]["blockNumber"] for x in own.logs("event", 4, 9, 4, 9)] == [8, 8]
+    # long ranges are listed; gaps and ends past the newest block are no error
+    (node / "blocks" / "7.json").unlink()
+    for most in (C.PROBES, 0):
+        monkeypatch.setattr(C, "PROBES", most)
+        assert [x["meta"]["blockNumber"] for x in own.logs("transfer", 6, 10**12 if not most else 99)] == [6, *range(8, 31)]
+
+
+def test_the_newest_block_is_found_again_only_after_a_change(node, monkeypatch):
+    import os
+
+    own, listed = C.FileClient(str(node)), []
+    numbers = own._numbers
+    monkeypatch.setattr(own, "_numbers", lambda: listed.append(1) or numbers())
+    # a folder that has just changed may change again within the same tick of its clock
+    assert own.block("best")["number"] == 30 and own.block("best")["number"] == 30 and len(listed) == 2
+    os.utime(node / "blocks", (1, 1))
+    assert {own.block("best")["number"] for _ in range(9)} == {30} and len(listed) == 3
+    put(node, block(31))
+    assert own.block("best")["number"] == 31
+    (node / "blocks" / "31.json").unlink()
+    assert own.block("best")["number"] == 30

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import islice
 from pathlib import Path
 from typing import Any, Protocol
 
@@ -18,6 +20,11 @@ from .revision import Revision
 POLL, ERROR, LIMITED = 3.0, 10.0, 10.0
 #: Fixed value: logs of a page.
 PAGE = 1000
+#: Block files of a range that are asked for one by one, and nanoseconds after which a folder's change time tells any later change.
+PROBES, SETTLED = 10_000, 2_000_000_000
+
+#: Of each folder of blocks: when it was changed last, and its best block then.
+_best: dict[str, tuple[int, int | None]] = {}
 
 
 class Client(Protocol):
@@ -74,19 +81,45 @@ class HttpClient:
 
 
 class FileClient:
-    """A folder of ``blocks/<number>.json``, for tests and replays. The best and the finalized block are options."""
+    """A folder of ``blocks/<number>.json``, for tests and replays. The best and the finalized block are options.
+
+    A block is one file to open, a short range as many, whatever else the folder holds. It is listed for the best
+    block, once for as long as nothing is added or removed, and for long ranges. The next page of a scan goes on
+    where the last one ended.
+    """
 
     def __init__(self, folder: str, finalized: int | None = None):
         self.folder, self.last = Path(folder), finalized
+        self._scan: tuple = ()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_scan": ()}
 
     def _numbers(self) -> list[int]:
-        return sorted(int(p.stem) for p in (self.folder / "blocks").glob("*.json"))
+        try:
+            with os.scandir(self.folder / "blocks") as found:
+                return sorted(int(p.name[:-5]) for p in found if p.name.endswith(".json"))
+        except FileNotFoundError:
+            return []
 
     def _block(self, number: int) -> dict:
-        at = self.folder / "blocks" / f"{number}.json"
-        if not at.is_file():
-            raise BlockNotFound(str(number))
-        return json.loads(at.read_text("utf-8"))
+        try:
+            return json.loads((self.folder / "blocks" / f"{number}.json").read_text("utf-8"))
+        except FileNotFoundError:
+            raise BlockNotFound(str(number)) from None
+
+    def _best(self) -> int | None:
+        at = self.folder / "blocks"
+        if not at.is_dir():
+            return None
+        stamp, known = at.stat().st_mtime_ns, _best.get(str(at))
+        if known and known[0] == stamp:
+            return known[1]
+        settled = time.time_ns() - stamp > SETTLED
+        best = max(self._numbers(), default=None)
+        if settled:
+            _best[str(at)] = stamp, best
+        return best
 
     def block(self, revision: str | int, expanded: bool = True) -> dict:
         r = Revision.parse(revision)
@@ -95,23 +128,36 @@ class FileClient:
             if got is None:
                 raise BlockNotFound(r.value)
         else:
-            numbers = self._numbers()
-            if not numbers:
+            number = int(r.value) if r.kind == "number" else self._best() if r.value == "best" or self.last is None else self.last
+            if number is None:
                 raise BlockNotFound(r.value)
-            best = numbers[-1]
-            got = self._block(int(r.value) if r.kind == "number" else best if r.value == "best" or self.last is None else self.last)
+            got = self._block(number)
         return got if expanded else got | {"transactions": [t["id"] for t in got["transactions"]]}
 
-    def logs(self, kind: str, first: int, last: int, offset: int = 0, limit: int = PAGE, criteria: Sequence[Mapping] = ()) -> list[dict]:
-        out: list[dict] = []
-        for n in self._numbers():
-            if first <= n <= last:
+    def _logs(self, kind: str, first: int, last: int, criteria: Sequence[Mapping]) -> Iterator[dict]:
+        for n in range(first, last + 1) if last - first < PROBES else [n for n in self._numbers() if first <= n <= last]:
+            try:
                 b = self._block(n)
-                for t in b["transactions"]:
-                    for i, o in enumerate(t["outputs"]):
-                        meta = {"blockID": b["id"], "blockNumber": n, "blockTimestamp": b["timestamp"], "txID": t["id"], "txOrigin": t["origin"], "clauseIndex": i}
-                        out += [dict(x, meta=meta) for x in o["events" if kind == "event" else "transfers"]]
-        return [x for x in out if not criteria or any(_meets(x, c) for c in criteria)][offset : offset + limit]
+            except BlockNotFound:
+                continue
+            for t in b["transactions"]:
+                for i, o in enumerate(t["outputs"]):
+                    meta = {"blockID": b["id"], "blockNumber": n, "blockTimestamp": b["timestamp"], "txID": t["id"], "txOrigin": t["origin"], "clauseIndex": i}
+                    for x in o["events" if kind == "event" else "transfers"]:
+                        row = dict(x, meta=meta)
+                        if not criteria or any(_meets(row, c) for c in criteria):
+                            yield row
+
+    def logs(self, kind: str, first: int, last: int, offset: int = 0, limit: int = PAGE, criteria: Sequence[Mapping] = ()) -> list[dict]:
+        scan = (kind, first, last, [dict(c) for c in criteria])
+        if offset and self._scan[:2] == (scan, offset):
+            rows = self._scan[2]
+        else:
+            rows = islice(self._logs(kind, first, last, criteria), offset, None)
+        self._scan = ()
+        out = list(islice(rows, limit))
+        self._scan = (scan, offset + len(out), rows)
+        return out
 
     def inspect(self, clauses: Sequence[Mapping], revision: str | int = "best") -> list[dict]:
         return [{"data": c.get("data") or "0x", "events": [], "transfers": [], "gasUsed": 0, "reverted": False, "vmError": None} for c in clauses]
