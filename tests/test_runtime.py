@@ -389,3 +389,14 @@ def test_the_newest_block_is_found_again_only_after_a_change(node, monkeypatch):
     assert own.block("best")["number"] == 31
     (node / "blocks" / "31.json").unlink()
     assert own.block("best")["number"] == 30
+
+
+def test_the_plan_of_a_stream_is_made_once(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    calls, made = [], events.block_transfers
+    monkeypatch.setattr(events, "block_transfers", lambda blocks: calls.append(1) or made(blocks))
+    at = "/root/testdata/sf0.01"
+    first = spark.read.parquet(f"{at}/supplier.parquet").agg(F.min("s_suppkey")).first()[0]
+    rows = queries.chain_stream(spark, at).collect()
+    assert len(calls) == 1 and len(rows) == 100 and all(r.turn == (r.block - first) // 25 for r in rows)

@@ -533,16 +533,14 @@ def chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
     at, out = _node(register(ship(spark)), sf_dir), f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
     rows = spark.readStream.format("chain").options(path=at, startBlock=first, maxBlocksPerTrigger=25).load()
-
-    def step(batch: DataFrame, turn: int) -> None:
-        e = events.block_transfers(batch)
-        e = e.select(F.col("blockNumber").alias("block"), F.col("blockId").alias("id"), P.as_long(P.get(F.col("params"), "amount")).alias("amount"), F.lit(turn).cast("bigint").alias("turn"))
-        e.write.mode("overwrite").parquet(f"{out}/rows/batch={turn}")
-
-    stream = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").start()
+    e = events.block_transfers(rows)
+    e = e.select(F.col("blockNumber").alias("block"), F.col("blockId").alias("id"), P.as_long(P.get(F.col("params"), "amount")).alias("amount"))
+    # the plan above is made once and the turn is its folder's name, so a micro-batch is no more than a write
+    step = lambda batch, turn: batch.write.mode("overwrite").parquet(f"{out}/rows/turn={turn}")
+    stream = e.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").start()
     stream.processAllAvailable()
     stream.stop()
-    return spark.read.schema("block bigint, id string, amount bigint, turn bigint").parquet(f"{out}/rows/batch=*")
+    return spark.read.schema("block bigint, id string, amount bigint, turn bigint").parquet(f"{out}/rows")
 
 
 _RAW = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' BEST ' WHEN 1 THEN '00' || event_id WHEN 2 THEN '0x' || repeat('A', 64) WHEN 3 THEN '0x12' ELSE event_type END AS x FROM events)"
