@@ -400,3 +400,10 @@ def test_the_plan_of_a_stream_is_made_once(spark, monkeypatch):
     first = spark.read.parquet(f"{at}/supplier.parquet").agg(F.min("s_suppkey")).first()[0]
     rows = queries.chain_stream(spark, at).collect()
     assert len(calls) == 1 and len(rows) == 100 and all(r.turn == (r.block - first) // 25 for r in rows)
+
+
+def test_blocks_of_the_queries_are_where_executors_see_them(spark):
+    from tidemark.plans import queries
+
+    at = queries._node(spark, "/root/testdata/sf0.001")
+    assert at.startswith(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) and C.FileClient(at).block("best")

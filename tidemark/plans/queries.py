@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -503,9 +503,12 @@ def block_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _node(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of blocks for the chain source: suppliers as blocks with one transfer each."""
-    at = Path(tempfile.mkdtemp(prefix="tidemark-node-")) / "blocks"
-    at.mkdir()
+    """A folder of blocks for the chain source, where executors see it too: suppliers as blocks with one transfer each."""
+    shared = urlsplit(shared_folder(spark))
+    if shared.scheme not in ("", "file"):
+        raise ValueError("the blocks need a folder that the driver and all executors share as files")
+    at = Path(shared.path) / f"node-{uuid.uuid4().hex}" / "blocks"
+    at.mkdir(parents=True)
     for r in table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", E.cents(F.col("s_acctbal")).alias("balance")).orderBy("s_suppkey").toLocalIterator():
         moved = {"sender": f"0x{r.s_suppkey:040x}", "recipient": f"0x{r.s_nationkey:040x}", "amount": hex(abs(r.balance))}
         tx = {"id": f"t{r.s_suppkey}", "origin": moved["sender"], "gasPayer": moved["sender"], "paid": "0x1", "gasUsed": 1, "reverted": False, "outputs": [{"contractAddress": None, "events": [], "transfers": [moved]}]}
